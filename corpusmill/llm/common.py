@@ -204,3 +204,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             break
         seen = tuple(now)
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+
+
+# ------------------------------------------------------------------ joins with a checked small side
+
+#: Ids that a broadcast may hold: a few tens of MB on each executor. More of them go by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", n: int | None = None) -> DataFrame:
+    """Semi or anti join on one narrow key; broadcast only where the ids were counted and are few."""
+    n = ids.count() if n is None else n
+    return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, on, how)

@@ -3,7 +3,7 @@ document its global offset; fixed windows then cut the stream, and a document th
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -13,43 +13,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, stored, table
+from .pieces import Memory, byte_level_cuts, plain_rows, runs
 
 TOKENIZER = "byte_bpe_50k.json"
 EOS = 1
 LENGTH = 2048
-#: Distinct space-delimited chunks whose ids a task remembers; beyond it the memory starts anew.
-CACHE = 300_000
-_EDGE = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s$")
+#: Distinct pieces whose ids a task remembers; beyond it the memory starts anew.
+CACHE = 400_000
 
 
-def chunks(text: str) -> list[str]:
-    """Cut before each single space between two other characters. Byte-level pre-tokens never reach across such a place,
-    so the ids of the chunks, put together, are the ids of the text."""
-    parts = text.split(" ") if not _ODD.search(text) else _EDGE.split(text)
-    return [parts[0], *[" " + p for p in parts[1:]]]
+def tokenizer(path: str):
+    """Of one thread: a task has one core, and each thread would keep memory of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
-    """Token ids as bytes of little-endian unsigned 32-bit numbers, remembered for each distinct chunk."""
+    """Token ids as bytes of little-endian unsigned 32-bit numbers. Texts are cut into pieces whose ids do not depend on their surroundings; the
+    tokenizer sees each distinct piece once, and texts whose pieces cannot be told by bytes as a whole."""
 
     def __init__(self, path: str, cache: int = CACHE):
-        from tokenizers import Tokenizer
-
-        self.tok, self.known, self.cache = Tokenizer.from_file(path), {}, cache
-
-    def many(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > self.cache:
-            self.known.clear()
-        cut = [chunks(t) if t else [] for t in texts]
-        new = list({c for cs in cut for c in cs if c not in self.known})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        for cs in cut:
-            yield b"".join(map(get, cs))
+        self.tok = tokenizer(path)
+        self.memory = Memory(self._encode, cache)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for lo in range(0, len(texts), 2_000) for e in self.tok.encode_batch_fast(texts[lo : lo + 2_000], add_special_tokens=False)]
+
+    def rows(self, data: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        out: list[bytes] = []
+        for a, b, plain in runs(plain_rows(data, offs)):
+            part, at = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+            if not plain:
+                raw = part.tobytes()
+                out += self._encode([raw[i:j].decode() for i, j in zip(at[:-1], at[1:], strict=True)])
+            elif not len(part):
+                out += [b""] * (b - a)
+            else:
+                s = byte_level_cuts(part, at)
+                number, inverse = self.memory.numbers(part, s, lower=False)
+                own = [self.memory.values[i] for i in number.tolist()]
+                size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+                start, n = np.cumsum(size) - size, size[inverse]
+                end = np.cumsum(n)
+                ids = np.frombuffer(b"".join(own), "<u4")[np.repeat(start[inverse] - (end - n), n) + np.arange(end[-1])]
+                out += [x.tobytes() for x in np.split(ids, np.concatenate(([0], end))[np.searchsorted(s, at[1:-1])])]
+        return out
 
 
 def _path(name: str) -> str:
@@ -65,8 +75,8 @@ def token_ids(docs: DataFrame, tokenizer: str = TOKENIZER, eos: int = EOS) -> Da
         from pyspark import TaskContext
 
         part, first, enc, end = TaskContext.get().partitionId(), 0, Encoder(_path(tokenizer)), np.array([eos], "<u4").tobytes()
-        for batch, _, _ in blocks(batches):
-            ids = [x + end for x in enc.many([t or "" for t in batch.column("text").to_pylist()])]
+        for batch, data, offs in blocks(batches):
+            ids = [x + end for x in enc.rows(data, offs)]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "part": pa.array(np.full(len(n), part, np.int64)), "first": pa.array(first + np.cumsum(n) - n), "n": pa.array(n), "ids": pa.array(ids, pa.binary())})
             first += int(n.sum())
