@@ -86,33 +86,40 @@ def match(data: np.ndarray, offs: np.ndarray, index: dict, window: int = WINDOW,
     return np.diff(at), found
 
 
+def index(benchmark: DataFrame, window: int = WINDOW, k: int = K) -> list:
+    """Broadcasts of the benchmark's index, cut into blocks of about BLOCK_TEXT bytes of text at most (a longer item is a block of
+    its own): a task holds one block at a time, however large the benchmark."""
+    spark = benchmark.sparkSession
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // (BLOCK_TEXT // 2)))
+    part = lambda b: bench if n == 1 else bench.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b)
+    return [spark.sparkContext.broadcast(pickle.dumps(index_block([tuple(r) for r in part(b).collect()], window, k))) for b in range(n)]
+
+
+def matches(batches: Iterator[pa.RecordBatch], casts: list, window: int, k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, dict]]:
+    one = pickle.loads(casts[0].value) if len(casts) == 1 else None
+    for batch, data, offs in blocks(batches):
+        found: dict[int, tuple[set, set]] = {}
+        for c in casts:
+            n_words, part = match(data, offs, one if one is not None else pickle.loads(c.value), window, k)
+            for r, (hit, names) in part.items():
+                old = found.setdefault(r, (set(), set()))
+                old[0].update(hit)
+                old[1].update(names)
+        yield batch, n_words, found
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits (word numbers), items of every row of docs.
 
-    Null or empty texts have no words and no hits; items without words match nothing; repeated rows are judged each; an empty
-    benchmark contaminates nothing; other columns are not read. Benchmark texts are cut into blocks of at most BLOCK_TEXT bytes
-    (a longer item is a block of its own) and each block is broadcast for itself; a task holds one block at a time."""
-    spark = docs.sparkSession
-    casts = []
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // (BLOCK_TEXT // 2)))
-    for b in range(n_blocks):
-        part = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b)
-        casts.append(spark.sparkContext.broadcast(pickle.dumps(index_block([tuple(r) for r in part.collect()], window, k))))
+    Null or empty texts have no words and no hits; items without words, null items and null ids match nothing; repeated rows are
+    judged each; an empty benchmark contaminates nothing; other columns are not read."""
+    casts = index(benchmark, window, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = pickle.loads(casts[0].value) if len(casts) == 1 else None
-        for batch, data, offs in blocks(batches):
-            found: dict[int, tuple[set, set]] = {}
-            for c in casts:
-                n_words, part = match(data, offs, one or pickle.loads(c.value), window, k)
-                for r, (hit, names) in part.items():
-                    old = found.setdefault(r, (set(), set()))
-                    old[0].update(hit)
-                    old[1].update(names)
-            none = (set(), set())
-            both = [found.get(r, none) for r in range(batch.num_rows)]
+        for batch, n_words, found in matches(batches, casts, window, k):
+            both = [found.get(r, (set(), set())) for r in range(batch.num_rows)]
             names = [sorted(x[1]) for x in both]
             n_hit = np.array([len(x[0]) for x in both], np.int64)
             yield pa.record_batch(
@@ -131,6 +138,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits array<long>, items array<string>")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """The rows of docs, all columns, without any window of the benchmark."""
+    casts = index(benchmark, window, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, found in matches(batches, casts, window, k):
+            yield batch.filter(pa.array([r not in found for r in range(batch.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits", "items")
 

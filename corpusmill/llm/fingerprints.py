@@ -2,7 +2,7 @@
 
 A sketch has three subtables of cells (count, xor of digests, xor of their checks); a digest enters one cell of each. Two sketches of
 one size subtract cell by cell; digests both texts have vanish, and peeling cells with a single digest recovers the others. A table
-that does not peel is made again, larger: split by digest into parts of few digests each, then once more with other cells."""
+that does not peel is made again, larger: split by digest into parts of few digests each; a part that fails is made once more, larger still."""
 
 from __future__ import annotations
 
@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import table, width
 
-#: Cells of one subtable in the fingerprint, and in each part of a larger table; digests expected in a part.
-BASE, PART, LOAD = 8, 12, 12
-#: A paragraph is a line; a line is also cut before sentences that start with one of these letters, so that texts of one line have parts.
-CUT = "\\\\n+|(?<=[.!?])\\\\s+(?=[A-E])"
+#: Cells of one subtable in the fingerprint, in each part of a larger table, and in a part made anew; digests expected in a part.
+BASE, PART, AGAIN, LOAD = 8, 6, 24, 6
+#: A paragraph is a line; a line is also cut after marks where a word that starts with one of these letters follows, so that texts of
+#: one line have parts.
+CUT = "\\\\n+|(?<=[\\\\p{P}\\\\p{S}])\\\\s+(?=[A-Ea-e])"
 LOWEST = -(2**63)
 
 
@@ -23,14 +24,20 @@ def digests(text: str) -> str:
     return f"array_distinct(transform(filter(split({text}, '{CUT}'), x -> x <> ''), x -> xxhash64(x)))"
 
 
-def _cell(d: str, i: str, w: int, salt: int) -> str:
-    return f"pmod(shiftrightunsigned({d}, ({i} div {w}) * 17 + {salt}), {w}) = {i} % {w}"
+def named(value: str, name: str, body: str) -> str:
+    """SQL for body with a name for value: a lambda's argument is computed once, an expression at each of its uses."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _place(d: str, sub: int, w: int, salt: int) -> str:
+    return f"pmod(shiftrightunsigned({d}, {17 * sub + salt}), {w})"
 
 
 def sketch(u: str, w: int, salt: int = 0) -> str:
     """SQL for the 3 * w cells of an array of digests."""
-    return f"""transform(sequence(0, {3 * w - 1}), i -> aggregate(filter({u}, d -> {_cell("d", "i", w, salt)}),
-        named_struct('c', 0, 'k', 0L, 'h', 0L), (s, d) -> named_struct('c', s.c + 1, 'k', s.k ^ d, 'h', s.h ^ xxhash64(d, 77L))))"""
+    cell = "aggregate(filter(v, x -> x.p = i), named_struct('c', 0, 'k', 0L, 'h', 0L), (s, x) -> named_struct('c', s.c + 1, 'k', s.k ^ x.k, 'h', s.h ^ x.h))"
+    subs = [named(f"transform({u}, d -> named_struct('p', {_place('d', j, w, salt)}, 'k', d, 'h', xxhash64(d, 77L)))", "v", f"transform(sequence(0L, {w - 1}L), i -> {cell})") for j in range(3)]
+    return f"concat({', '.join(subs)})"
 
 
 def minus(a: str, b: str) -> str:
@@ -39,27 +46,32 @@ def minus(a: str, b: str) -> str:
 
 def peel(cells: str, w: int, most: str, salt: int = 0) -> str:
     """SQL for how many digests a difference of sketches holds; null if it does not peel within `most` steps."""
-    step = f"""if(s.done, s, element_at(transform(array(try_element_at(filter(s.t, c -> abs(c.c) = 1 AND c.h = xxhash64(c.k, 77L)), 1)), p ->
-        if(p IS NULL, named_struct('t', s.t, 'n', s.n, 'done', true), named_struct('t', transform(s.t, (c, i) -> if({_cell("p.k", "i", w, salt)},
-        named_struct('c', c.c - p.c, 'k', c.k ^ p.k, 'h', c.h ^ p.h), c)), 'n', s.n + 1, 'done', false))), 1))"""
-    return f"""aggregate(sequence(0, least({most}, {3 * w})), named_struct('t', {cells}, 'n', 0, 'done', false), (s, x) -> {step},
+    pure = "try_element_at(filter(s.t, c -> abs(c.c) = 1 AND c.h = xxhash64(c.k, 77L)), 1)"
+    places = f"named_struct('c', p.c, 'k', p.k, 'h', p.h, 'a', {_place('p.k', 0, w, salt)}, 'b', {_place('p.k', 1, w, salt)} + {w}, 'd', {_place('p.k', 2, w, salt)} + {2 * w})"
+    out = "transform(s.t, (c, i) -> if(i = q.a OR i = q.b OR i = q.d, named_struct('c', c.c - q.c, 'k', c.k ^ q.k, 'h', c.h ^ q.h), c))"
+    found = f"named_struct('t', {named(places, 'q', out)}, 'n', s.n + 1, 'done', false)"
+    step = named(pure, "p", f"if(p IS NULL, named_struct('t', s.t, 'n', s.n, 'done', true), {found})")
+    return f"""aggregate(sequence(0, least({most}, {3 * w})), named_struct('t', {cells}, 'n', 0, 'done', false), (s, x) -> if(s.done, s, {step}),
         s -> if(forall(s.t, c -> c.c = 0 AND c.k = 0L), s.n, NULL))"""
 
 
-def in_parts(a: str, b: str, parts: str, w: int, salt: int) -> str:
-    """SQL for the differing digests by `parts` tables of 3 * w cells, a digest in the table its top bits name; null if one fails."""
-    own = lambda u: f"filter({u}, d -> pmod(shiftrightunsigned(d, 40), {parts}) = q)"
-    one = peel(minus(sketch(own(a), w, salt), sketch(own(b), w, salt)), w, str(3 * w), salt)
-    return f"aggregate(transform(sequence(0, {parts} - 1), q -> {one}), 0, (s, x) -> s + x)"
+def in_parts(a: str, b: str, parts: str) -> str:
+    """SQL for the differing digests by `parts` tables, a digest in the table its top bits name. A part that does not peel is made
+    again, four times larger and with other cells; should that fail as well, the part's digests are compared as they are."""
+    own = lambda u: f"filter({u}, d -> pmod(shiftrightunsigned(d, 40), {parts}) = y)"
+    most = "size(z.a) + size(z.b)"
+    small, large = (peel(minus(sketch("z.a", w, salt), sketch("z.b", w, salt)), w, most, salt) for w, salt in ((PART, 0), (AGAIN, 7)))
+    one = f"coalesce({small}, {large}, size(array_except(z.a, z.b)) + size(array_except(z.b, z.a)))"
+    both = f"named_struct('a', {own(a)}, 'b', {own(b)})"
+    return f"aggregate(transform(sequence(0, {parts} - 1), y -> {named(both, 'z', one)}), 0, (s, x) -> s + x)"
 
 
 def likeness(a: str, b: str, fa: str, fb: str) -> str:
-    """SQL for the Jaccard similarity of two texts' paragraph sets from their sketches fa, fb, or larger ones made from digests a, b."""
+    """SQL for the Jaccard similarity of two texts' paragraph sets: from their sketches fa and fb, or from larger ones of their digests
+    a and b if those do not peel."""
     size = f"(size({a}) + size({b}))"
-    parts = f"greatest(1, {size} div {LOAD})"
-    exact = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    diff = f"coalesce({peel(minus(fa, fb), BASE, size)}, {in_parts(a, b, parts, PART, 0)}, {in_parts(a, b, f'(2 * {parts} + 1)', PART, 5)}, {exact})"
-    return f"if({size} = 0, 1D, element_at(transform(array({diff}), d -> ({size} - d) / ({size} + d)), 1))"
+    diff = f"coalesce({peel(minus(fa, fb), BASE, size)}, {in_parts(a, b, f'cast(greatest(1, {size} div {LOAD}) as int)')})"
+    return f"if({size} = 0, 1D, {named(diff, 'd', f'({size} - d) / ({size} + d)')})"
 
 
 def text_form(cells: str, u: str) -> str:
@@ -75,9 +87,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def _bucket(bounds: list[int], col: str) -> Column:
     """How many of the ascending bounds are at most the column, by binary search."""
     arr = f"array({', '.join(f'{b}L' for b in bounds)})" if bounds else "array(cast(null as bigint))"
-    steps = max(1, len(bounds).bit_length())
+    steps, mid = max(1, len(bounds).bit_length()), "cast((s.lo + s.hi) div 2 as int)"
     return F.expr(f"""aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {len(bounds)}), (s, x) -> if(s.lo < s.hi,
-        if(element_at({arr}, (s.lo + s.hi) div 2 + 1) <= {col}, named_struct('lo', (s.lo + s.hi) div 2 + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', (s.lo + s.hi) div 2)), s), s -> s.lo)""")
+        if({arr}[{mid}] <= {col}, named_struct('lo', {mid} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {mid})), s), s -> s.lo)""")
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ DIMS, CENTROIDS, STEPS = 4096, 4, 12
 #: Labelled documents a language that the fit may take (about; a fixed hash of doc_id chooses them, whole texts are read).
 SAMPLE = 400
 #: A text is rejected below this share of its language's 1 % quantile of training cosines.
-RADIUS = 0.5
+RADIUS = 0.25
 UNKNOWN = "und"
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -89,38 +89,48 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, dims:
     return {"langs": names, "idf": idf, "centroids": np.vstack(cents).astype(np.float32), "radius": np.array(radius)}
 
 
+def judge(model: dict, batch: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nearest centroid, cosine, rejected) of each row; the last centroid number plus one stands for no language."""
+    ok = batch.column("letters_").to_numpy(zero_copy_only=False).astype(bool)
+    none = len(model["langs"])
+    if not none:
+        return np.full(len(ok), none), np.zeros(len(ok)), np.ones(len(ok), bool)
+    cos = _unit(features(data, offs, len(model["idf"])) * model["idf"]) @ model["centroids"].T
+    best = cos.argmax(1)
+    top = cos[np.arange(len(best)), best].clip(0, 1).astype(float)
+    return np.where(ok, best, none), np.where(ok, top, 0.0), ~ok | (top < model["radius"][best])
+
+
+def _letters() -> Column:
+    return F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters_")
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score (cosine to the nearest centroid), rejected of every row.
 
     `und`, 0 and rejected for a null text or one without a letter, and for every text when the fit saw no language. Rows that repeat
     are judged each; other columns are not read; an empty table gives no row. The model has a fixed size (dims x centroids)."""
-    spark = docs.sparkSession
-    cast = spark.sparkContext.broadcast(model)
+    cast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = cast.value
         langs = np.array([*m["langs"], UNKNOWN], dtype=object)
         for batch, data, offs in blocks(batches, limit=1 << 19):
-            ok = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
-            if len(m["langs"]):
-                cos = _unit(features(data, offs, len(m["idf"])) * m["idf"]) @ m["centroids"].T
-                best = cos.argmax(1)
-                top = cos[np.arange(len(best)), best].clip(0, 1).astype(float)
-                far = top < m["radius"][best]
-            else:
-                best, top, ok = np.zeros(len(ok), int), np.zeros(len(ok)), np.zeros(len(ok), bool)
-                far = ~ok
-            yield pa.record_batch(
-                {
-                    "doc_id": batch.column("doc_id").cast(pa.int64()),
-                    "lang_pred": pa.array(langs[np.where(ok, best, len(langs) - 1)].tolist(), pa.string()),
-                    "score": pa.array(np.where(ok, top, 0.0)),
-                    "rejected": pa.array(~ok | far),
-                }
-            )
-
-    letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters")
-    return docs.select("doc_id", "text", letters).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+            best, top, bad = judge(m, batch, data, offs)
+            yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "lang_pred": pa.array(langs[best].tolist(), pa.string()), "score": pa.array(top), "rejected": pa.array(bad)})
+
+    return docs.select("doc_id", "text", _letters()).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs, all columns, that the model does not reject."""
+    cast = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offs in blocks(batches, limit=1 << 19):
+            yield batch.filter(pa.array(~judge(cast.value, batch, data, offs)[2])).drop_columns(["letters_"])
+
+    return docs.select("*", _letters()).mapInArrow(run, docs.schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,6 @@ suffix is the kept copy; every other suffix of depth MIN_LINES or more is a late
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -88,47 +87,59 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, deepest: int | Non
     return starts, None if deep is None else deep.groupBy("doc_id").agg(F.max("depth").alias("longest"))
 
 
+MARKS = "n_lines long, n_removed long, n_runs long, copy_depth int"
+
+
+def without(lines: list[str], starts: list[int], length: int) -> tuple[list[str], int]:
+    """(lines outside the runs of `length` lines at the ascending starts, how many runs after joining those that touch)."""
+    kept: list[str] = []
+    p, runs, end = 0, 0, -1
+    for s in starts:
+        if s > end:
+            kept += lines[p:s]
+            runs += 1
+        end = s + length
+        p = end
+    return kept + lines[p:], runs
+
+
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, deepest: int | None = None) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_runs, copy_depth, text (what is kept; null stays null) of every row.
+    """Every row of docs with its columns, text being what is kept, and n_lines, n_removed, n_runs, copy_depth.
 
     Lines are the parts between line feeds. A run of min_lines or more lines that also starts earlier (smaller doc_id, or further up
     in the same document) is removed, run by run as long as the intervals go; the first copy stays. Runs are judged on the input. An
-    empty text is one empty line; null texts and null ids keep all; rows that repeat a doc_id share what their places lose; an empty
-    table gives no row; other columns are not read. copy_depth is the depth of the deepest interval in which the document is a later
-    copy (min_lines times a power of two; 0: none)."""
+    empty text is one empty line; null texts stay null, with 0 lines; null ids keep all; rows that repeat a doc_id share what their
+    places lose; an empty table gives no row. Columns of docs named like the four new ones are replaced. copy_depth is the depth of
+    the deepest interval in which the document is a later copy (min_lines times a power of two; 0: none)."""
+    docs = docs.drop(*[c.split()[0] for c in MARKS.split(", ")])
     starts, deep = later_copies(docs, min_lines, deepest)
-    base = docs.select("doc_id", "text")
-    schema = "doc_id long, n_lines long, n_removed long, n_runs long, copy_depth int, text string"
-    same = lambda d: d.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"), F.lit(0).alias("copy_depth"), "text")
+    zero = [F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"), F.lit(0).alias("copy_depth")]
+    same = lambda d: d.select("*", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), *zero)
     if starts is None:
-        return same(base)
+        return same(docs)
+    ids = stored(starts.join(deep, "doc_id").select("doc_id", F.struct("starts", "longest").alias("copies_")))
+    n = ids.count()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("n_lines", "n_removed", "n_runs", "text")}
-            for text, at in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
-                lines, gone, runs, end = (text or "").split("\n"), 0, 0, -1
-                kept: list[str] = []
-                p = 0
-                for s in at:
-                    if s > end:
-                        kept += lines[p:s] if s > p else []
-                        runs += 1
-                        p = s
-                    end = s + min_lines
-                    gone += max(0, end - p)
-                    p = max(p, end)
-                kept += lines[p:]
-                for k, v in zip(out, (len(lines), gone, runs, "\n".join(kept)), strict=True):
-                    out[k].append(v)
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_lines": pa.array(out["n_lines"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "n_runs": pa.array(out["n_runs"], pa.int64()), "copy_depth": b.column("longest"), "text": pa.array(out["text"], pa.string())})
-
-    ids = stored(starts.join(deep, "doc_id"))
-    n = ids.count()
-    changed = keep_ids(base, ids.select("doc_id"), "doc_id", n=n).where("text is not null").join(ids, "doc_id").select("doc_id", "text", "starts", "longest").mapInArrow(cut, schema)
-    # the rest is told apart by the same ids; null ids and null texts are never among them
-    rest = keep_ids(base, ids.select("doc_id"), "doc_id", "left_anti", n=n)
-    nulls = keep_ids(base.where("text is null"), ids.select("doc_id"), "doc_id", n=n)
+            n_lines, gone, runs, texts, depth = [], [], [], [], []
+            for text, at in zip(b.column("text").to_pylist(), b.column("copies_").to_pylist(), strict=True):
+                lines = text.split("\n")
+                kept, k = without(lines, [s for s in at["starts"] if s < len(lines)], min_lines)
+                n_lines.append(len(lines))
+                gone.append(len(lines) - len(kept))
+                runs.append(k)
+                texts.append("\n".join(kept))
+                depth.append(at["longest"])
+            b = b.drop_columns(["copies_"]).set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+            new = [pa.array(x, pa.int64()) for x in (n_lines, gone, runs)] + [pa.array(depth, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *[c.split()[0] for c in MARKS.split(", ")]])
+
+    schema = same(docs).schema
+    own = [f.name for f in docs.schema]
+    changed = keep_ids(docs, ids.select("doc_id"), "doc_id", n=n).select(own).where("text is not null").join(ids, "doc_id").select(*own, "copies_").mapInArrow(cut, schema)
+    rest = keep_ids(docs, ids.select("doc_id"), "doc_id", "left_anti", n=n).select(own)
+    nulls = keep_ids(docs.where("text is null"), ids.select("doc_id"), "doc_id", n=n).select(own)
     return changed.unionByName(same(rest)).unionByName(same(nulls))
 
 
@@ -137,10 +148,6 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 #: Brute force over all runs of three lines.
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents),

@@ -221,5 +221,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return out.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, but for documents that have a near duplicate of smaller doc_id in their class."""
+    gone = stored(near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct())
+    return keep_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, fingerprints, langid, linededup, minhash, packing, quality, substrings, tokens, urlrules
 
 
@@ -17,8 +19,10 @@ def queries() -> dict:
         "op8_token_counts": tokens.op8_token_counts,
         "op9_near_duplicates": minhash.op9_near_duplicates,
         "op10_remove_repeats": substrings.op10_remove_repeats,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.OP2_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op10_remove_repeats": substrings.OP10_SQL}
+    out = {"op2_line_dedup": linededup.OP2_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op10_remove_repeats": substrings.OP10_SQL}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

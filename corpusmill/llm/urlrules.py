@@ -11,7 +11,9 @@ from .common import BROADCAST_IDS, stored, table
 
 #: Fixed by the query's contract: host and path of a rule, and what it says.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-SUPPORT, CONFIDENCE, LIFT = 0.002, 0.6, 1.2
+SUPPORT, CONFIDENCE, LIFT = 0.005, 0.6, 1.2
+#: A combination counts only if so many labelled URLs have it.
+LEAST = 20
 BAD = "label=bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -52,7 +54,9 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     if labelled.isEmpty():
         return labelled.sparkSession.createDataFrame([], schema)
     items = labelled.select(F.when(F.col("bad"), F.concat(tokens(F.col("url")), F.array(F.lit(BAD)))).otherwise(tokens(F.col("url"))).alias("items")).where("size(items) > 0")
-    # path numbers and other rare tokens can never be part of a frequent set
+    support = max(support, LEAST / labelled.count())
+    if support > 1:
+        return labelled.sparkSession.createDataFrame([], schema)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(items)
     rules = stored(model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.col("lift") >= lift)).select("antecedent", "confidence", "support"))
     # an antecedent is implied if a shorter one inside it is at least as confident; both share the shorter one's first token
