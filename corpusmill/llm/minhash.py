@@ -5,9 +5,10 @@ empty bucket borrows from a filled one chosen by a fixed hash of its number, so
 similarity whatever the set's size. Bands of the compressed registers nominate pairs; a collision-corrected estimate drops what is
 far below the threshold; whole shingle sets confirm the rest.
 
-Equal sets are one class from the start. Inside a band group only links to one leader a round are tried; a group is over when all its
-members are in one class, so a group of n near copies costs n pairs and not n * n, and yet no pair that a band holds together stays
-untried unless its two members are already connected."""
+Equal sets are one class from the start. A band group first tries its members with one leader only, and is over once all of them are
+in one class, so n near copies cost n pairs and not n * n. Members of different classes are then tried pair by pair where they are
+few; a larger group is split by further bands, of which a similar pair shares several. No pair that the bands hold together stays
+untried unless its two members are connected already."""
 
 from __future__ import annotations
 
@@ -23,15 +24,19 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, blocks, components, keep_ids, mix, ngrams, runs_of, stored, table, utf8, words
 
 SHINGLE, PERCENT, ROWS, MANTISSA = 5, 80, 6, 10
-#: Probability with which a pair exactly at the threshold may share no band.
-MISS = 1e-6
-#: Groups with so few open members try all their pairs of different classes at once; larger ones go on leader by leader.
+#: Probability with which a pair exactly at the threshold may share fewer than SHARED bands.
+MISS, SHARED = 1e-6, 3
+#: Groups of so few open members try all their pairs of different classes at once.
 SMALL = 32
 _ONE = np.uint64(1)
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
-    return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
+    """Fewest bands of which a pair at the threshold shares fewer than SHARED with probability `miss` at most."""
+    p, b = (percent / 100) ** rows, SHARED
+    while sum(math.comb(b, i) * p**i * (1 - p) ** (b - i) for i in range(SHARED)) > miss:
+        b += 1
+    return b
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,42 +182,43 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     Words are runs of non-space characters after A-Z are lower-cased; a text with fewer words than a shingle has is one shingle; null
     and empty texts have none and stay alone. Equal texts, however many, are one class by one aggregation. doc_id should be unique and
-    not null: rows that repeat a doc_id count as one document with all their sets; a null id stays alone. An empty table gives no row; other columns are
-    not read. Links are lost only with probability `miss` (default one in a million for a pair exactly at the threshold)."""
+    not null: rows that repeat a doc_id count as one document with all their sets; a null id stays alone. An empty table gives no row;
+    other columns are not read. Links are lost only with probability `miss` (default one in a million, at the threshold)."""
     bands = bands_for(percent, rows, miss)
     k = bands * rows
     all_rows = stored(sketches(docs, shingle, k))
     reps = stored(all_rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")))
     keyed = band_keys(reps, rows, bands)
     shared = keyed.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("band")
-    groups = stored(keyed.join(shared, "band"))
-    pairs_seen, links, labels = None, None, None
+    groups = stored(keyed.join(shared, "band").select(F.col("band").alias("grp"), "id", F.col("id").alias("label"), F.col("band").alias("last")))
+    tried: DataFrame | None = None
+    links: DataFrame | None = None
+    labels: DataFrame | None = None
     turn = 0
     while not groups.isEmpty():
-        lead = groups.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n"))
-        open_ = groups.join(lead, "band")
-        if labels is None:
-            pairs = open_.where("id <> a").select("a", F.col("id").alias("b"))
-        else:
-            lab = groups.select("band", F.col("id").alias("a"), F.col("label").alias("la"))
-            pairs = open_.where(f"n > {SMALL} or {turn} < 2").join(lab, ["band", "a"]).where("id <> a and label <> la").select("a", F.col("id").alias("b"))
-            if turn >= 2:
-                few = open_.where(f"n <= {SMALL}").select("band", "id", "label")
-                x, y = few.select("band", F.col("id").alias("a"), F.col("label").alias("la")), few.select("band", F.col("id").alias("b"), F.col("label").alias("lb"))
-                pairs = pairs.unionByName(x.join(y, "band").where("a < b and la <> lb").select("a", "b"))
+        # Each group's leader is tried with the members of other classes; a small group then tries all its pairs of different classes.
+        lead = groups.groupBy("grp").agg(F.min(F.struct("id", "label")).alias("lead"), F.count("*").alias("n"))
+        open_ = groups.join(lead, "grp")
+        pairs = open_.where("id <> lead.id and label <> lead.label").select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
+        small = f"n <= {SMALL}" if turn else "false"
+        if turn:
+            few = open_.where(small).select("grp", "id", "label")
+            other = few.select("grp", F.col("id").alias("b"), F.col("label").alias("lb"))
+            pairs = pairs.unionByName(few.join(other, "grp").where("id < b and label <> lb").select(F.col("id").alias("a"), "b"))
         pairs = pairs.distinct()
-        if pairs_seen is not None:
-            pairs = pairs.join(pairs_seen, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        pairs_seen = pairs if pairs_seen is None else pairs_seen.unionByName(pairs)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
         new = stored(confirmed(pairs, reps, docs, shingle, percent, k))
         links = new if links is None else links.unionByName(new)
         labels = stored(components(links))
-        # what is left: groups with more than one class, without this round's leaders and without the small groups that are done
-        rest = open_.where("id <> a" if turn < 2 else f"id <> a and n > {SMALL}").select("band", "id")
-        rest = rest.join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("label"))
-        open_bands = rest.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        groups = stored(rest.join(open_bands, "band"))
+        rest = open_.where(f"id <> lead.id and not ({small})").select("grp", "id", "last").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        rest = several(rest.select("grp", "id", F.coalesce("root", "id").alias("label"), "last"))
+        # A large group that is still of several classes is split by a further band that its members share: a pair at the threshold
+        # shares `SHARED` bands as surely as bands_for() says, so three levels lose nothing; deeper, leaders go on one by one.
+        if 1 <= turn < SHARED:
+            again = keyed.select("id", F.col("band").alias("more"))
+            rest = several(rest.join(again, "id").where("more > last").select(F.xxhash64("grp", "more").alias("grp"), "id", "label", F.col("more").alias("last")))
+        groups = stored(rest)
         turn += 1
     out = all_rows.join(reps.select("set_key", "id"), "set_key", "left")
     if labels is not None:
@@ -221,6 +227,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return out.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
 
 
+def several(groups: DataFrame) -> DataFrame:
+    """The groups whose members are of more than one class."""
+    open_ = groups.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("grp")
+    return groups.join(open_, "grp")
+
+
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, but for documents that have a near duplicate of smaller doc_id in their class."""
     gone = stored(near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct())
