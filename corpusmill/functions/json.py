@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 FENCE = r"(?s)```(?:json)?\s*(.*?)```"
 
@@ -72,13 +73,13 @@ def outermost(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def extract(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(outermost)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The whole text, or its fence, as indented JSON; null if neither parses."""
 
