@@ -15,7 +15,7 @@ FENCE = r"(?s)```(?:json)?\s*(.*?)```"
 
 def unfenced(c: Column) -> Column:
     inner = F.regexp_extract(c, FENCE, 1)
-    return F.trim(F.when(F.length(inner) > 0, inner).otherwise(c))
+    return F.regexp_replace(F.when(F.length(inner) > 0, inner).otherwise(c), r"^\s+|\s+$", "")
 
 
 def braced(c: Column) -> Column:
@@ -29,7 +29,7 @@ def repaired(c: Column) -> Column:
 
 
 def parses(c: Column) -> Column:
-    return F.expr("1 = 1") & F.try_parse_json(c).isNotNull()
+    return F.try_parse_json(c).isNotNull()
 
 
 def lenient(c: Column) -> Column:

@@ -36,6 +36,11 @@ def chain(c: Column, *steps: tuple[str, str]) -> Column:
     return reduce(lambda x, s: sub(x, *s), steps, c)
 
 
+def strip(c: Column) -> Column:
+    """Without white space at either end (trim() knows spaces only)."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def squeeze(c: Column) -> Column:
     """White-space runs and NULs become one space; ends trimmed."""
     return F.trim(sub(F.translate(c, "\x00", " "), r"\s+", " "))
@@ -78,7 +83,7 @@ def clean_text(c: Column) -> Column:
     c = chain(c, (r"[^\x00-\x7F]+", " "), (r"[{}()\[\]|@,;]", " "), (r"[.]{2,}", "."), (r"[-]{2,}", "-"), (r"[_]{2,}", "_"))
     c = chain(strip_tables(strip_math(c)), (r"\[[0-9,\-\s]+\]", ""), (LINK, ""), (r"\S+@\S+", ""))
     line = F.trim(sub(fix_sentences(c), r"\s+", " "))
-    return F.when((F.length(line) > 20) & ~is_upper(line), line).otherwise("")
+    return F.when(line.isNull() | (F.length(line) > 20) & ~is_upper(line), line).otherwise("")
 
 
 def is_upper(c: Column) -> Column:
@@ -90,11 +95,11 @@ def split_marked(c: Column) -> Column:
     """array<struct<name, text>> of the parts after `--- name.pdf ---` marks."""
     marked = F.filter(F.split(c, r"(?=---\s+[^\n]+?\.pdf\s+---)"), lambda x: x.rlike(r"^---\s+.+?\.pdf\s+---"))
     head = r"(?s)^---\s+(.+?\.pdf)\s+---(.*)$"
-    return F.transform(marked, lambda x: F.struct(F.trim(F.regexp_extract(x, head, 1)).alias("name"), F.trim(F.regexp_extract(x, head, 2)).alias("text")))
+    return F.transform(marked, lambda x: F.struct(strip(F.regexp_extract(x, head, 1)).alias("name"), strip(F.regexp_extract(x, head, 2)).alias("text")))
 
 
 def drop_blank_lines(c: Column) -> Column:
-    return F.array_join(F.filter(F.split(c, "\n"), lambda x: F.length(F.trim(x)) > 0), "\n")
+    return F.array_join(F.filter(F.split(c, "\n"), lambda x: F.length(strip(x)) > 0), "\n")
 
 
 def title_key(c: Column) -> Column:
@@ -166,20 +171,20 @@ def ngrams(words: Column, n: int = 8) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+(?=[A-Z\(])"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+(?=[A-Z\(])"), lambda x: strip(x)), lambda x: F.length(x) > 0)
 
 
 def paragraphs(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?U)\n\s*\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(c, r"(?U)\n\s*\n"), lambda x: strip(x)), lambda x: F.length(x) > 0)
 
 
 def head_tokens(c: Column, n: int) -> Column:
     """The text up to the end of its n-th word; all of it when it has no more."""
-    return F.when(word_count(c) <= n, c).otherwise(F.trim(F.regexp_extract(c, rf"(?Us)^(?:.*?\b\w+\b){{{n}}}", 0)))
+    return F.when(word_count(c) <= n, c).otherwise(strip(F.regexp_extract(c, rf"(?Us)^(?:.*?\b\w+\b){{{n}}}", 0)))
 
 
 def tail_tokens(c: Column, n: int) -> Column:
-    return F.when(word_count(c) <= n, c).otherwise(F.trim(F.regexp_extract(c, rf"(?Us)\b\w+\b(?:(?:(?!\b\w+\b).)*\b\w+\b){{{n - 1}}}(?:(?!\b\w).)*$", 0)))
+    return F.when(word_count(c) <= n, c).otherwise(strip(F.regexp_extract(c, rf"(?Us)\b\w+\b(?:(?:(?!\b\w+\b).)*\b\w+\b){{{n - 1}}}(?:(?!\b\w).)*$", 0)))
 
 
 def context_prefix(title: Column, section: Column) -> Column:
@@ -223,7 +228,7 @@ CHAT = {
 
 def chat(kind: Column, system: Column, question: Column, response: Column) -> Column:
     """One training text in the family's template; empty when question or response is empty, the system turn only where there is one."""
-    s, q, r = (F.trim(F.coalesce(x, F.lit(""))) for x in (system, question, response))
+    s, q, r = (strip(F.coalesce(x, F.lit(""))) for x in (system, question, response))
     out = F.lit("")
     for name, (a, u, m, end) in CHAT.items():
         first = F.when(F.length(s) > 0, F.concat(F.lit(a), s, F.lit(end)) if a else F.lit("")).otherwise("")
@@ -240,12 +245,12 @@ def answer(kind: Column, raw: Column) -> Column:
         stop = end.strip() or u.strip()
         last = F.substring_index(F.substring_index(raw, m.strip(), -1), stop, 1)
         out = F.when(kind == name, last).otherwise(out)
-    return F.trim(F.regexp_replace(out, r"(?s)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(out, r"(?s)<think>.*?</think>", ""))
 
 
 def only_thinks(c: Column, least: int = 15) -> Column:
     x = F.lower(c)
-    return x.contains("<think>") & (~x.contains("</think>") | (F.length(F.trim(F.substring_index(x, "</think>", -1))) < least))
+    return x.contains("<think>") & (~x.contains("</think>") | (F.length(strip(F.substring_index(x, "</think>", -1))) < least))
 
 
 def in_text_ids(c: Column) -> Column:

@@ -20,7 +20,7 @@ def test_sentence_packing():
     text = " ".join(f"Sentence number {i} has some words." for i in range(30))
     chunks = chunking.pack_sentences(text, 40, 8, 10)
     assert all(chunking.count_tokens(c) <= 48 for c in chunks) and len(chunks) > 4
-    short = "Hi. " + "word " * 50 + "end. Bye."
+    short = "Hi. Word " + "word " * 50 + "end. Bye."
     assert chunking.pack_sentences(short, 20, 4, 5) and "Hi." not in chunking.pack_sentences(short, 20, 4, 5)[0]
     assert chunking.pack_sentences(short, 20, 4, 5, lossless=True)[0] == "Hi."
 
