@@ -7,8 +7,8 @@ far below the threshold; whole shingle sets confirm the rest.
 
 Equal sets are one class from the start. A band group first tries its members with one leader only, and is over once all of them are
 in one class, so n near copies cost n pairs and not n * n. Members of different classes are then tried pair by pair where they are
-few; a larger group is split by further bands, of which a similar pair shares several. No pair that the bands hold together stays
-untried unless its two members are connected already."""
+few; a larger group is split by the rarest shingles of its members, of which a similar pair shares one for certain. No pair that the
+bands hold together and that could be similar stays untried unless its two members are connected already."""
 
 from __future__ import annotations
 
@@ -24,19 +24,15 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, blocks, components, keep_ids, mix, ngrams, runs_of, stored, table, utf8, words
 
 SHINGLE, PERCENT, ROWS, MANTISSA = 5, 80, 6, 10
-#: Probability with which a pair exactly at the threshold may share fewer than SHARED bands.
-MISS, SHARED = 1e-6, 3
-#: Groups of so few open members try all their pairs of different classes at once.
+#: Probability with which a pair exactly at the threshold may share no band.
+MISS = 1e-6
+#: Groups of so few members try all their pairs of different classes at once.
 SMALL = 32
 _ONE = np.uint64(1)
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
-    """Fewest bands of which a pair at the threshold shares fewer than SHARED with probability `miss` at most."""
-    p, b = (percent / 100) ** rows, SHARED
-    while sum(math.comb(b, i) * p**i * (1 - p) ** (b - i) for i in range(SHARED)) > miss:
-        b += 1
-    return b
+    return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,41 +186,72 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     reps = stored(all_rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")))
     keyed = band_keys(reps, rows, bands)
     shared = keyed.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("band")
-    groups = stored(keyed.join(shared, "band").select(F.col("band").alias("grp"), "id", F.col("id").alias("label"), F.col("band").alias("last")))
-    tried: DataFrame | None = None
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    turn = 0
-    while not groups.isEmpty():
-        # Each group's leader is tried with the members of other classes; a small group then tries all its pairs of different classes.
-        lead = groups.groupBy("grp").agg(F.min(F.struct("id", "label")).alias("lead"), F.count("*").alias("n"))
-        open_ = groups.join(lead, "grp")
-        pairs = open_.where("id <> lead.id and label <> lead.label").select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
-        small = f"n <= {SMALL}" if turn else "false"
-        if turn:
-            few = open_.where(small).select("grp", "id", "label")
-            other = few.select("grp", F.col("id").alias("b"), F.col("label").alias("lb"))
-            pairs = pairs.unionByName(few.join(other, "grp").where("id < b and label <> lb").select(F.col("id").alias("a"), "b"))
-        pairs = pairs.distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = stored(confirmed(pairs, reps, docs, shingle, percent, k))
+    groups = stored(keyed.join(shared, "band").select(F.col("band").alias("grp"), "id"))
+    links = labels = None
+
+    def tried(pairs: DataFrame) -> None:
+        nonlocal links, labels
+        new = stored(confirmed(stored(pairs.distinct()), reps, docs, shingle, percent, k))
         links = new if links is None else links.unionByName(new)
         labels = stored(components(links))
-        rest = open_.where(f"id <> lead.id and not ({small})").select("grp", "id", "last").join(labels.withColumnRenamed("node", "id"), "id", "left")
-        rest = several(rest.select("grp", "id", F.coalesce("root", "id").alias("label"), "last"))
-        # A large group that is still of several classes is split by a further band that its members share: a pair at the threshold
-        # shares `SHARED` bands as surely as bands_for() says, so three levels lose nothing; deeper, leaders go on one by one.
-        if 1 <= turn < SHARED:
-            again = keyed.select("id", F.col("band").alias("more"))
-            rest = several(rest.join(again, "id").where("more > last").select(F.xxhash64("grp", "more").alias("grp"), "id", "label", F.col("more").alias("last")))
-        groups = stored(rest)
-        turn += 1
-    out = all_rows.join(reps.select("set_key", "id"), "set_key", "left")
-    if labels is not None:
-        out = out.join(labels.withColumnRenamed("node", "id"), "id", "left")
-    root = F.coalesce("root", "id", "doc_id") if labels is not None else F.coalesce("id", "doc_id")
-    return out.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
+
+    def still_open(groups: DataFrame) -> DataFrame:
+        return stored(several(labelled(groups.select("grp", "id"), labels)))
+
+    # 1. Every member of a band group with the group's leader.
+    lead = groups.groupBy("grp").agg(F.min("id").alias("a"))
+    tried(groups.join(lead, "grp").where("id <> a").select("a", F.col("id").alias("b")))
+    groups = still_open(groups)
+    if not groups.isEmpty():
+        # 2. Small groups that are still of several classes: their pairs of different classes. Large ones: groups by shared prefix.
+        size = groups.groupBy("grp").agg(F.count("*").alias("n"))
+        sized = groups.join(size, "grp")
+        large = stored(sized.where(f"n > {SMALL}").select("id").distinct())
+        by_prefix = None
+        pairs = cross(sized.where(f"n <= {SMALL}"))
+        if not large.isEmpty():
+            by_prefix = stored(several(labelled(prefix_groups(docs, reps, large, shingle, percent), labels)))
+            lead = by_prefix.groupBy("grp").agg(F.min(F.struct("id", "label")).alias("l"))
+            pairs = pairs.unionByName(by_prefix.join(lead, "grp").where("label <> l.label").select(F.col("l.id").alias("a"), F.col("id").alias("b")))
+        tried(pairs)
+        # 3. Prefix groups that are still of several classes: their pairs of different classes.
+        if by_prefix is not None:
+            rest = still_open(by_prefix)
+            if not rest.isEmpty():
+                tried(cross(rest))
+    out = all_rows.join(reps.select("set_key", "id"), "set_key", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("root", "id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
+
+
+def labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    return groups.join(labels.withColumnRenamed("node", "id"), "id", "left").select("grp", "id", F.coalesce("root", "id").alias("label"))
+
+
+def cross(groups: DataFrame) -> DataFrame:
+    """(a, b) of the members of different classes of each group."""
+    x = groups.select("grp", F.col("id").alias("a"), F.col("label").alias("la"))
+    y = groups.select("grp", F.col("id").alias("b"), F.col("label").alias("lb"))
+    return x.join(y, "grp").where("a < b and la <> lb").select("a", "b")
+
+
+def prefix_groups(docs: DataFrame, reps: DataFrame, ids: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(grp, id): members of `ids` under each shingle of their prefix, the rarest n - ceil(percent / 100 * n) + 1 of their n shingles in
+    one order for all. Two sets at the threshold share a shingle of their prefixes: nothing is lost, while sets that differ in more
+    shingles of their own than that share none. Only documents of large open groups get here."""
+    text = keep_ids(docs.select("doc_id", "text"), ids.withColumnRenamed("id", "doc_id"), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offs in blocks(batches):
+            r, g = shingle_sets(data, offs, shingle)
+            yield pa.record_batch({"id": batch.column("doc_id").take(pa.array(r)), "g": pa.array(g.view(np.int64))})
+
+    each = stored(text.mapInArrow(run, "id long, g long"))
+    df = each.groupBy("g").agg(F.count("*").alias("df"))
+    own = each.join(df, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("x"))
+    n = F.size("x")
+    most = (n - F.ceil(n * percent / 100) + 1).cast("int")
+    return own.select("id", F.explode(F.slice("x", F.lit(1), most)).alias("y")).where("y.df > 1").select(F.col("y.g").alias("grp"), "id")
 
 
 def several(groups: DataFrame) -> DataFrame:
