@@ -15,7 +15,7 @@ from .common import table, width
 BASE, PART, AGAIN, LOAD = 8, 6, 24, 6
 #: A paragraph is a line; a line is also cut after marks where a word that starts with one of these letters follows, so that texts of
 #: one line have parts.
-CUT = "\\\\n+|(?<=[\\\\p{P}\\\\p{S}])\\\\s+(?=[A-Ea-e])"
+CUT = "\\\\n+|(?<=[\\\\p{P}\\\\p{S}])\\\\s+(?=[A-Ca-c])"
 LOWEST = -(2**63)
 
 
@@ -55,22 +55,24 @@ def peel(cells: str, w: int, most: str, salt: int = 0) -> str:
         s -> if(forall(s.t, c -> c.c = 0 AND c.k = 0L), s.n, NULL))"""
 
 
-def in_parts(a: str, b: str, parts: str) -> str:
-    """SQL for the differing digests by `parts` tables, a digest in the table its top bits name. A part that does not peel is made
-    again, four times larger and with other cells; should that fail as well, the part's digests are compared as they are."""
-    own = lambda u: f"filter({u}, d -> pmod(shiftrightunsigned(d, 40), {parts}) = y)"
+def in_parts(a: str, b: str, size: str) -> str:
+    """SQL for the differing digests by one table for each LOAD of the `size` digests, a digest in the table its bits name. A part that
+    does not peel is made again, four times larger and with other cells; should that fail as well, the part's digests are compared as
+    they are. Digests are dealt in two steps, so n of them cost about n times the root of n, not its square."""
     most = "size(z.a) + size(z.b)"
     small, large = (peel(minus(sketch("z.a", w, salt), sketch("z.b", w, salt)), w, most, salt) for w, salt in ((PART, 0), (AGAIN, 7)))
     one = f"coalesce({small}, {large}, size(array_except(z.a, z.b)) + size(array_except(z.b, z.a)))"
-    both = f"named_struct('a', {own(a)}, 'b', {own(b)})"
-    return f"aggregate(transform(sequence(0, {parts} - 1), y -> {named(both, 'z', one)}), 0, (s, x) -> s + x)"
+    deal = lambda x, y, shift, i: f"named_struct('a', filter({x}, d -> pmod(shiftrightunsigned(d, {shift}), k) = {i}), 'b', filter({y}, d -> pmod(shiftrightunsigned(d, {shift}), k) = {i}))"
+    each = lambda i, body: f"aggregate(transform(sequence(0, k - 1), {i} -> {body}), 0, (s, x) -> s + x)"
+    inner = each("j", named(deal("y.a", "y.b", 23, "j"), "z", one))
+    return named(f"cast(greatest(1, ceil(sqrt({size} / {LOAD}))) as int)", "k", each("i", named(deal(a, b, 40, "i"), "y", inner)))
 
 
 def likeness(a: str, b: str, fa: str, fb: str) -> str:
     """SQL for the Jaccard similarity of two texts' paragraph sets: from their sketches fa and fb, or from larger ones of their digests
     a and b if those do not peel."""
     size = f"(size({a}) + size({b}))"
-    diff = f"coalesce({peel(minus(fa, fb), BASE, size)}, {in_parts(a, b, f'cast(greatest(1, {size} div {LOAD}) as int)')})"
+    diff = f"coalesce({peel(minus(fa, fb), BASE, size)}, {in_parts(a, b, size)})"
     return f"if({size} = 0, 1D, {named(diff, 'd', f'({size} - d) / ({size} + d)')})"
 
 

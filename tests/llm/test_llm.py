@@ -304,7 +304,7 @@ def test_every_byte_counts_in_the_network():
 
 def units(text):
     out = set()
-    for p in re.split(r"\n+|(?<=[.,!?;:/])\s+(?=[A-Ea-e])", text or ""):
+    for p in re.split(r"\n+|(?<=[.,!?;:/])\s+(?=[A-Ca-c])", text or ""):
         out |= {p} if p else set()
     return out
 
