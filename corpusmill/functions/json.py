@@ -25,7 +25,7 @@ def braced(c: Column) -> Column:
 
 def repaired(c: Column) -> Column:
     """Backslashes that start no JSON escape are doubled."""
-    return F.regexp_replace(c, r'\\(?![\\"/bfnrtu])', r"\\\\\\\\")
+    return F.regexp_replace(c, r'\\(?![\\"/bfnrtu])', r"\\\\")
 
 
 def parses(c: Column) -> Column:

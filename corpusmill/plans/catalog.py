@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..functions import text as T
-from ..operators import chunking, dedup, graph, retrieval, sampling, stats, tables
+from ..operators import chunking, dedup, evidence, graph, retrieval, sampling, stats, tables
 from ..streaming import progress
 
 QUERIES: dict = {}
@@ -370,3 +370,34 @@ def latest_state(spark, sf_dir):
 def telemetry(spark, sf_dir):
     x = progress.telemetry(t(spark, sf_dir, "events"), "ts", "event_type", "value", "1 hour")
     return x.withColumn("mean", F.round("mean", 6)).withColumn("most", F.round("most", 6))
+
+
+# ---------------------------------------------------------------- evidence and selection
+
+
+@query("""WITH w AS (SELECT lang, list_filter(regexp_extract_all(lower(text), '[a-z0-9]{2,}'), lambda x: NOT list_contains(['""" + "','".join(T.STOPWORDS) + """'], x)) AS w FROM documents),
+g AS (SELECT lang, unnest(list_concat(w, CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM w), tf AS (SELECT lang, term, count(*) AS tf FROM g GROUP BY ALL),
+n AS (SELECT count(DISTINCT lang) AS n FROM documents), d AS (SELECT term, count(*) AS df FROM tf GROUP BY term), x AS (SELECT lang, term, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM tf JOIN d USING (term), n WHERE df <= 0.85 * n),
+s AS (SELECT lang, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY lang)), 6) AS weight FROM x) SELECT lang, term, round(weight, 4) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS r FROM s) WHERE r <= 5""")
+def top_terms(spark, sf_dir):
+    return evidence.top_terms(t(spark, sf_dir, "documents"), "lang", "text", 5).select("lang", "term", F.round("weight", 4).alias("weight"))
+
+
+@query("""SELECT doc_id, CAST(contains(lower(text), 'tion') AS BIGINT) + CAST(contains(lower(text), 'ment') AS BIGINT) + CAST(contains(lower(text), '|') AS BIGINT) AS score FROM documents""")
+def keyword_score(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", evidence.keyword_score(F.col("text"), ["tion", "ment", "|"]).cast("long").alias("score"))
+
+
+@query("""WITH p AS (SELECT item_id, item_id % 50 AS doc_id, CASE WHEN item_id % 7 = 0 THEN ' ' ELSE text END AS quote FROM benchmark UNION ALL SELECT doc_id + 1000000, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE doc_id END, left(text, 40) FROM documents)
+SELECT item_id, CASE WHEN trim(quote) = '' THEN 'empty_quote' WHEN d.doc_id IS NULL THEN 'unknown_passage' WHEN NOT contains(lower(d.text), lower(quote)) THEN 'not_in_passage' ELSE '' END AS failure FROM p LEFT JOIN documents d ON d.doc_id = p.doc_id""")
+def quote_checks(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    own = t(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 50).alias("passage_id"), F.when(F.col("item_id") % 7 == 0, " ").otherwise(F.col("text")).alias("quote"))
+    more = d.select((F.col("doc_id") + 1000000).alias("item_id"), F.when(F.col("doc_id") % 5 == 0, -1).otherwise(F.col("doc_id")).alias("passage_id"), F.substring("text", 1, 40).alias("quote"))
+    return evidence.quote_checks(own.unionByName(more), d.select(F.col("doc_id").alias("passage_id"), "text")).select("item_id", "failure")
+
+
+@query()
+def fuzzy_titles(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("title"))
+    return evidence.fuzzy_titles(d.where("doc_id % 10 = 3").withColumnRenamed("doc_id", "l_id"), d.where("doc_id % 10 <> 3").withColumnRenamed("doc_id", "r_id"))

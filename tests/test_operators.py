@@ -208,3 +208,32 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("latest_").collect())) == [(1, 2, "b"), (2, 1, "c")]
+
+
+def test_quotes_and_titles(spark):
+    from corpusmill.operators import evidence
+
+    text = " ".join(f"word{i}" for i in range(200))
+    assert evidence.closest("WORD5  word6", text) == 1.0 and evidence.closest("nothing alike", "zzz") < 0.5
+    best, score = evidence.repair(" ".join(f"word{i}" for i in range(50, 70)), text)
+    assert "word51" in best and len(best) <= 240 and score > 0
+    assert evidence.repair("none of these", text) == ("", 0.0)
+    a = spark.createDataFrame([(1, "Deep learning for optical networks"), (2, "A survey of optical switching in data centers today"), (3, "Unrelated")], "l_id long, title string")
+    b = spark.createDataFrame([(10, "deep LEARNING, for optical networks"), (11, "A survey of optical switching in data centers"), (12, "optical"), (13, None)], "r_id long, title string")
+    got = {r.l_id: (r.r_id, r.exact) for r in evidence.fuzzy_titles(a, b, 0.8).collect()}
+    assert got == {1: (10, True), 2: (11, False)}
+
+
+def test_small_expressions(spark):
+    from corpusmill.operators import evidence
+
+    df = spark.createDataFrame([("WDM and OWDM, WDM2", ["u", "v"])], "x string, a array<string>")
+    assert df.select(evidence.expand_acronyms(F.col("x"), {"WDM": "wavelength WDM", "OWDM": "o"})).first()[0] == "WDM (wavelength WDM) and OWDM (o), WDM2"
+    assert df.select(evidence.user_turn(F.col("a"), F.lit("q?"))).first()[0] == "Excerpts:\n\n[1] u\n\n[2] v\n\nQuestion: q?"
+    assert df.select(evidence.chunk_label(F.lit("T"), F.lit("2.1"), F.lit("Design"))).first()[0] == "T § 2.1 Design"
+    places = spark.createDataFrame([([("", "repository"), ("j", "journal"), ("r", "repository")],), ([("j", "journal")],), ([],)], "p array<struct<pdf_url:string,type:string>>")
+    assert [r[0] for r in places.select(evidence.pdf_url(F.col("p"))).collect()] == ["r", "j", None]
+    ranked = spark.createDataFrame([(1, i, "q", "t" * i) for i in range(6)], "query_id long, item_id long, query string, text string")
+    assert [r.item_id for r in evidence.rerank(ranked, lambda q, x: x.str.len(), 2).orderBy("rank").collect()] == [5, 4]
+    checked = evidence.first_failure(ranked, [("a", F.col("item_id") > 0), ("b", F.col("item_id") > 3)])
+    assert [r.failed for r in checked.orderBy("item_id").collect()] == ["a", "b", "b", "b", "", ""]
