@@ -186,21 +186,18 @@ def runs_of(row: np.ndarray, rows: int) -> np.ndarray:
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root): the least node reachable, for the nodes of the edges, by alternating large-star and small-star steps.
 
-    The edges never leave the executors; every second alternation is written to the shared folder, so a lost executor costs little.
-    A star step keeps components and only moves links towards smaller nodes; it ends when a round changes no link."""
-
-    def stars(e: DataFrame) -> DataFrame:
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    The edges never leave the executors; every round is written to the shared folder, so a lost executor costs one round at most and
+    a plan never reads the one before. Star steps keep components and only move links towards smaller nodes; it ends when a round
+    changes no link."""
+    e = stored(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct())
+    seen = None
+    for _ in range(rounds):
+        both = e.select(F.expr("inline(array(struct(u, v), struct(v as u, u as v)))"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        return small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-
-    e = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v")
-    seen = None
-    for _ in range(rounds):
-        e = stored(stars(stars(e)))
+        small = large.join(low, "u").select(F.expr("inline(array(struct(u, m as v), struct(v as u, m as v)))"))
+        e = stored(small.where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
