@@ -27,7 +27,7 @@ SHINGLE, PERCENT, ROWS, MANTISSA = 5, 80, 6, 10
 #: Probability with which a pair exactly at the threshold may share no band.
 MISS = 1e-6
 #: Groups of so few members try all their pairs of different classes at once.
-SMALL = 32
+SMALL = 16
 _ONE = np.uint64(1)
 
 
@@ -187,6 +187,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     keyed = band_keys(reps, rows, bands)
     shared = keyed.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("band")
     groups = stored(keyed.join(shared, "band").select(F.col("band").alias("grp"), "id"))
+    # A member's degree is how many others its groups hold: the text that many near copies were made from has the greatest, and the
+    # copies are often similar to it and not to each other. It leads its groups.
+    size = groups.groupBy("grp").agg(F.count("*").alias("n"))
+    degree = stored(groups.join(size, "grp").groupBy("id").agg(F.sum("n").alias("degree")))
     links = labels = None
 
     def tried(pairs: DataFrame) -> None:
@@ -199,8 +203,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         return stored(several(labelled(groups.select("grp", "id"), labels)))
 
     # 1. Every member of a band group with the group's leader.
-    lead = groups.groupBy("grp").agg(F.min("id").alias("a"))
-    tried(groups.join(lead, "grp").where("id <> a").select("a", F.col("id").alias("b")))
+    tried(with_leader(groups, degree).where("id <> a").select("a", F.col("id").alias("b")))
     groups = still_open(groups)
     if not groups.isEmpty():
         # 2. Small groups that are still of several classes: their pairs of different classes. Large ones: groups by shared prefix.
@@ -211,8 +214,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         pairs = cross(sized.where(f"n <= {SMALL}"))
         if not large.isEmpty():
             by_prefix = stored(several(labelled(prefix_groups(docs, reps, large, shingle, percent), labels)))
-            lead = by_prefix.groupBy("grp").agg(F.min(F.struct("id", "label")).alias("l"))
-            pairs = pairs.unionByName(by_prefix.join(lead, "grp").where("label <> l.label").select(F.col("l.id").alias("a"), F.col("id").alias("b")))
+            led = with_leader(by_prefix, degree)
+            pairs = pairs.unionByName(led.where("id <> a and label <> la").select("a", F.col("id").alias("b")))
         tried(pairs)
         # 3. Prefix groups that are still of several classes: their pairs of different classes.
         if by_prefix is not None:
@@ -224,6 +227,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return out.withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
 
 
+def with_leader(groups: DataFrame, degree: DataFrame) -> DataFrame:
+    """groups with `a`, the member of greatest degree of each group, the least id among equals (and its label `la`)."""
+    label = F.col("label") if "label" in groups.columns else F.lit(None).cast("long")
+    lead = groups.join(degree, "id").groupBy("grp").agg(F.min(F.struct((-F.col("degree")).alias("d"), "id", label.alias("label"))).alias("l"))
+    return groups.join(lead.select("grp", F.col("l.id").alias("a"), F.col("l.label").alias("la")), "grp")
+
+
 def labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return groups.join(labels.withColumnRenamed("node", "id"), "id", "left").select("grp", "id", F.coalesce("root", "id").alias("label"))
 
