@@ -13,15 +13,17 @@ from .common import table, width
 
 #: Cells of one subtable in the fingerprint, in each part of a larger table, and in a part made anew; digests expected in a part.
 BASE, PART, AGAIN, LOAD = 8, 6, 24, 6
-#: A paragraph is a line; a line is also cut after marks where a word that starts with one of these letters follows, so that texts of
-#: one line have parts.
-CUT = "\\\\n+|(?<=[\\\\p{P}\\\\p{S}])\\\\s+(?=[A-Ca-c])"
+#: A paragraph is a line; a line is also cut after every mark that white space follows, and after the full-width marks that end a
+#: sentence without a space, so that texts of one line have parts.
+CUT = "\\\\n+|(?<=[\\\\p{P}\\\\p{S}])\\\\s+|(?<=[\\u3002\\uFF01\\uFF1F\\uFF1B])"
+#: Fewer, longer paragraphs: inside a line a cut only before a word that starts with one of these letters.
+COARSE = "\\\\n+|(?<=[\\\\p{P}\\\\p{S}])\\\\s+(?=[A-Ca-c])"
 LOWEST = -(2**63)
 
 
-def digests(text: str) -> str:
+def digests(text: str, cut: str = CUT) -> str:
     """SQL for the distinct digests of the paragraphs of a text."""
-    return f"array_distinct(transform(filter(split({text}, '{CUT}'), x -> x <> ''), x -> xxhash64(x)))"
+    return f"array_distinct(transform(filter(split({text}, '{cut}'), x -> x <> ''), x -> xxhash64(x)))"
 
 
 def named(value: str, name: str, body: str) -> str:
@@ -44,6 +46,14 @@ def minus(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (a, b) -> named_struct('c', a.c - b.c, 'k', a.k ^ b.k, 'h', a.h ^ b.h))"
 
 
+def signed_sketch(z: str, w: int, salt: int = 0) -> str:
+    """SQL for the difference of the sketches of two arrays of digests, in one pass over (k, g): all digests, g 1 of the first, -1 of the second."""
+    cell = lambda at: f"aggregate(filter(v, x -> x.{at} = i), named_struct('c', 0, 'k', 0L, 'h', 0L), (s, x) -> named_struct('c', s.c + x.g, 'k', s.k ^ x.k, 'h', s.h ^ x.h))"
+    places = ", ".join(f"'{at}', {_place('d.k', j, w, salt)}" for j, at in enumerate("pqr"))
+    subs = ", ".join(f"transform(sequence(0L, {w - 1}L), i -> {cell(at)})" for at in "pqr")
+    return named(f"transform({z}, d -> named_struct({places}, 'k', d.k, 'g', d.g, 'h', xxhash64(d.k, 77L)))", "v", f"concat({subs})")
+
+
 def peel(cells: str, w: int, most: str, salt: int = 0) -> str:
     """SQL for how many digests a difference of sketches holds; null if it does not peel within `most` steps."""
     pure = "try_element_at(filter(s.t, c -> abs(c.c) = 1 AND c.h = xxhash64(c.k, 77L)), 1)"
@@ -59,13 +69,13 @@ def in_parts(a: str, b: str, size: str) -> str:
     """SQL for the differing digests by one table for each LOAD of the `size` digests, a digest in the table its bits name. A part that
     does not peel is made again, four times larger and with other cells; should that fail as well, the part's digests are compared as
     they are. Digests are dealt in two steps, so n of them cost about n times the root of n, not its square."""
-    most = "size(z.a) + size(z.b)"
-    small, large = (peel(minus(sketch("z.a", w, salt), sketch("z.b", w, salt)), w, most, salt) for w, salt in ((PART, 0), (AGAIN, 7)))
-    one = f"coalesce({small}, {large}, size(array_except(z.a, z.b)) + size(array_except(z.b, z.a)))"
-    deal = lambda x, y, shift, i: f"named_struct('a', filter({x}, d -> pmod(shiftrightunsigned(d, {shift}), k) = {i}), 'b', filter({y}, d -> pmod(shiftrightunsigned(d, {shift}), k) = {i}))"
+    small, large = (peel(signed_sketch("z", w, salt), w, "size(z)", salt) for w, salt in ((PART, 0), (AGAIN, 7)))
+    one = f"if(size(z) = 0, 0, coalesce({small}, {large}, 2 * size(array_distinct(transform(z, d -> d.k))) - size(z)))"
+    deal = lambda x, shift, i: f"filter({x}, d -> pmod(shiftrightunsigned(d.k, {shift}), k) = {i})"
     each = lambda i, body: f"aggregate(transform(sequence(0, k - 1), {i} -> {body}), 0, (s, x) -> s + x)"
-    inner = each("j", named(deal("y.a", "y.b", 23, "j"), "z", one))
-    return named(f"cast(greatest(1, ceil(sqrt({size} / {LOAD}))) as int)", "k", each("i", named(deal(a, b, 40, "i"), "y", inner)))
+    both = f"concat(transform({a}, d -> named_struct('k', d, 'g', 1)), transform({b}, d -> named_struct('k', d, 'g', -1)))"
+    parts = each("i", named(deal("all", 40, "i"), "y", each("j", named(deal("y", 23, "j"), "z", one))))
+    return named(f"cast(greatest(1, ceil(sqrt({size} / {LOAD}))) as int)", "k", named(both, "all", parts))
 
 
 def likeness(a: str, b: str, fa: str, fb: str) -> str:
@@ -80,9 +90,9 @@ def text_form(cells: str, u: str) -> str:
     return f"concat(size({u}), ';', array_join(transform({cells}, c -> concat(c.c, ',', hex(c.k), ',', hex(c.h))), ';'))"
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, cut: str = CUT) -> DataFrame:
     """doc_id, n_units, fingerprint of every row: equal texts have equal ones. Null text is empty and has no paragraph."""
-    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("u", F.expr(digests("text"))).withColumn("f", F.expr(sketch("u", BASE)))
+    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("u", F.expr(digests("text", cut))).withColumn("f", F.expr(sketch("u", BASE)))
     return out.select("doc_id", F.size("u").alias("n_units"), F.expr(text_form("f", "u")).alias("fingerprint"))
 
 
@@ -117,7 +127,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     return spread.withColumn("next_text", F.lead("text").over(w)).where("not ghost").select("doc_id", "text", "next_text")
 
 
-def compare_with_edits(docs: DataFrame) -> DataFrame:
+def compare_with_edits(docs: DataFrame, cut: str = COARSE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row: a text against its
     edited version (second half replaced by the next document's start) and against the next document.
 
@@ -126,7 +136,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     half = "cast(floor(length(text) / 2) as int)"
     d = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     d = d.withColumn("edited", F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(next_text, 1, {half}))"))
-    d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.expr(digests("text")).alias("ut"), F.expr(digests("edited")).alias("ue"), F.expr(digests("next_text")).alias("un"))
+    d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.expr(digests("text", cut)).alias("ut"), F.expr(digests("edited", cut)).alias("ue"), F.expr(digests("next_text", cut)).alias("un"))
     d = d.select("*", *[F.expr(sketch(u, BASE)).alias(f) for u, f in (("ut", "ft"), ("ue", "fe"), ("un", "fn"))])
     return d.select(
         "doc_id",
@@ -140,4 +150,4 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_with_edits(table(spark, sf_dir, "documents"))
+    return compare_with_edits(table(spark, sf_dir, "documents"), CUT)
