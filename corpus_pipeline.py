@@ -15,10 +15,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs are cut out of the texts; a document that has lost all its lines is a copy and goes.
+    """Later copies of line runs are cut out of the texts, long single lines and whole short documents too; a document that has lost all
+    its lines is a copy and goes.
 
     What goes is settled at the depth of the shortest run that counts; deeper intervals would only tell how long the copies are."""
-    out = linededup.dedup_lines(docs, deepest=linededup.MIN_LINES).where("n_removed < n_lines or n_lines = 0")
+    out = linededup.dedup_lines(docs, deepest=linededup.MIN_LINES, min_chars=linededup.MIN_CHARS).where("n_removed < n_lines or n_lines = 0")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

@@ -3,7 +3,8 @@
 Every line is a 64-bit id. Round by round the suffixes that start with the same h lines, a longest-common-prefix interval of depth h,
 get one rank, in order; joining a suffix's rank with that of the suffix h lines on gives depth 2h. A suffix that shares its first h
 lines with none is in its final place and leaves, so rounds shrink with the repeats and stop at the longest one. An interval's first
-suffix is the kept copy; every other suffix of depth MIN_LINES or more is a later copy, and its lines go."""
+suffix is the kept copy; every other suffix of depth MIN_LINES or more is a later copy, and its lines go. Shorter copies go on request
+if they are long in characters or whole texts."""
 
 from __future__ import annotations
 
@@ -17,6 +18,8 @@ from .common import keep_ids, stored, table, width
 
 #: Lines in the shortest run that counts as repeated.
 MIN_LINES = 3
+#: Characters in a shorter run that counts all the same, where a caller asks for such runs.
+MIN_CHARS = 100
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -58,61 +61,76 @@ def deeper(level: DataFrame, step: int) -> DataFrame | None:
     return None if out.isEmpty() else out
 
 
-def levels(docs: DataFrame, min_lines: int, deepest: int | None = None) -> Iterator[tuple[int, DataFrame]]:
-    """(depth, shared suffixes): depth min_lines, then its doublings as long as anything is shared (or up to `deepest`)."""
+def levels(docs: DataFrame, min_lines: int, deepest: int | None = None, short: bool = False) -> Iterator[tuple[int, DataFrame]]:
+    """(depth, shared suffixes): depth min_lines, then its doublings as long as anything is shared (or up to `deepest`); with `short`
+    every depth below min_lines comes before."""
     lines = lines_of(docs)
     often = lines.groupBy("r").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("f")).where("n > 1")
     often = stored(often.select("r", F.col("f.doc_id").alias("f_doc"), F.col("f.at").alias("f_at")))
     level: DataFrame | None = stored(lines.join(often, "r").dropDuplicates(["doc_id", "at"]))
     depth = 1
     while level is not None:
-        if depth >= min_lines:
+        if short or depth >= min_lines:
             yield depth, level
         if deepest is not None and depth >= deepest:
             return
-        step = min(depth, min_lines - depth) if depth < min_lines else depth
+        step = depth if depth >= min_lines else 1 if short else min(depth, min_lines - depth)
         level, depth = deeper(level, step), depth + step
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, deepest: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
-    """(doc_id, starts) of the suffixes with an earlier copy of min_lines or more, and (doc_id, longest): the depth of the deepest
-    interval in which a suffix of the document is a later copy."""
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, deepest: int | None = None, short: bool = False) -> tuple[DataFrame | None, DataFrame | None]:
+    """(doc_id, starts) of the suffixes with an earlier copy of min_lines or more, as (at, k = min_lines), and (doc_id, longest): the
+    depth of the deepest interval in which a suffix of the document is a later copy. With `short` the starts of shorter copies of k
+    lines come too; blank lines alone do not."""
     starts, deep = None, None
-    for depth, level in levels(docs, min_lines, deepest):
+    for depth, level in levels(docs, min_lines, deepest, short):
         later = level.where("doc_id <> f_doc or at <> f_at")
-        if starts is None:
-            starts = stored(later.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("starts")))
+        if depth == 1 < min_lines:
+            later = later.where(F.col("r") != F.xxhash64(F.lit("")))
+        if depth <= min_lines:
+            own = later.select("doc_id", "at", F.lit(depth).alias("k"))
+            starts = own if starts is None else starts.unionByName(own)
         at = later.select("doc_id").distinct().withColumn("depth", F.lit(depth))
         deep = at if deep is None else deep.unionByName(at)
-    return starts, None if deep is None else deep.groupBy("doc_id").agg(F.max("depth").alias("longest"))
+    if starts is None:
+        return None, None
+    return stored(starts.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "k"))).alias("starts"))), deep.groupBy("doc_id").agg(F.max("depth").alias("longest"))
 
 
 MARKS = "n_lines long, n_removed long, n_runs long, copy_depth int"
 
 
-def without(lines: list[str], starts: list[int], length: int) -> tuple[list[str], int]:
-    """(lines outside the runs of `length` lines at the ascending starts, how many runs after joining those that touch)."""
+def without(lines: list[str], copies: list[tuple[int, int]]) -> tuple[list[str], int]:
+    """(lines outside the copies (start, length) in ascending order, how many runs after joining those that touch)."""
     kept: list[str] = []
-    p, runs, end = 0, 0, -1
-    for s in starts:
+    runs, end = 0, -1
+    for s, k in copies:
         if s > end:
-            kept += lines[p:s]
+            kept += lines[max(end, 0) : s]
             runs += 1
-        end = s + length
-        p = end
-    return kept + lines[p:], runs
+        end = max(end, s + k)
+    return kept + lines[max(end, 0) :], runs
+
 
+def counts(lines: list[str], s: int, k: int, min_chars: int) -> bool:
+    """Whether a copy of fewer than min_lines lines goes: it has min_chars characters, or it is the whole of a text that is not blank."""
+    n = sum(len(x.strip()) for x in lines[s : s + k])
+    return n >= min_chars or (n > 0 and k == len(lines))
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, deepest: int | None = None) -> DataFrame:
+
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, deepest: int | None = None, min_chars: int | None = None) -> DataFrame:
     """Every row of docs with its columns, text being what is kept, and n_lines, n_removed, n_runs, copy_depth.
 
     Lines are the parts between line feeds. A run of min_lines or more lines that also starts earlier (smaller doc_id, or further up
     in the same document) is removed, run by run as long as the intervals go; the first copy stays. Runs are judged on the input. An
     empty text is one empty line; null texts stay null, with 0 lines; null ids keep all; rows that repeat a doc_id share what their
     places lose; an empty table gives no row. Columns of docs named like the four new ones are replaced. copy_depth is the depth of
-    the deepest interval in which the document is a later copy (min_lines times a power of two; 0: none)."""
+    the deepest interval in which the document is a later copy (min_lines times a power of two; 0: none).
+
+    With min_chars a repeated run of fewer lines goes as well if its lines, stripped, have that many characters or if it is a whole
+    text that is not blank, so that a single long line and a copy of a short document count."""
     docs = docs.drop(*[c.split()[0] for c in MARKS.split(", ")])
-    starts, deep = later_copies(docs, min_lines, deepest)
+    starts, deep = later_copies(docs, min_lines, deepest, min_chars is not None)
     zero = [F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"), F.lit(0).alias("copy_depth")]
     same = lambda d: d.select("*", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), *zero)
     if starts is None:
@@ -125,12 +143,13 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, deepest: int | None
             n_lines, gone, runs, texts, depth = [], [], [], [], []
             for text, at in zip(b.column("text").to_pylist(), b.column("copies_").to_pylist(), strict=True):
                 lines = text.split("\n")
-                kept, k = without(lines, [s for s in at["starts"] if s < len(lines)], min_lines)
+                copies = [(s["at"], s["k"]) for s in at["starts"] if s["at"] < len(lines)]
+                kept, k = without(lines, [(s, k) for s, k in copies if k >= min_lines or counts(lines, s, k, min_chars)])
                 n_lines.append(len(lines))
                 gone.append(len(lines) - len(kept))
                 runs.append(k)
                 texts.append("\n".join(kept))
-                depth.append(at["longest"])
+                depth.append(at["longest"] if k else 0)
             b = b.drop_columns(["copies_"]).set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             new = [pa.array(x, pa.int64()) for x in (n_lines, gone, runs)] + [pa.array(depth, pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *[c.split()[0] for c in MARKS.split(", ")]])

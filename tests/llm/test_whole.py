@@ -5,7 +5,8 @@ import re
 
 import pytest
 
-from corpusmill.llm import fingerprints
+import corpus_pipeline
+from corpusmill.llm import fingerprints, linededup
 
 WORDS = "one two three four six seven eight nine zehn hundert mille дом мир 語 文 x9 7".split()
 
@@ -30,3 +31,32 @@ def test_op6_cuts_after_every_mark(spark, tmp_path):
         assert got[d].near_edited == pytest.approx(like(paragraphs(t), paragraphs(edited)), abs=1e-9), d
         assert got[d].near_next == pytest.approx(like(paragraphs(t), paragraphs(nxt)), abs=1e-9), d
         assert got[d].near_edited > 0 or d >= 40, d
+
+
+def brute_line_copies(rows, min_lines, min_chars):
+    """What is left of each text without the runs that also start earlier: min_lines or more lines, min_chars characters, or a whole text."""
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        w, gone = t.split("\n"), set()
+        for i in range(len(w)):
+            for k in range(1, min(min_lines, len(w) - i) + 1):
+                run, n = tuple(w[i : i + k]), sum(len(x.strip()) for x in w[i : i + k])
+                if run in seen and (k == min_lines or n >= min_chars or (n and k == len(w))):
+                    gone |= set(range(i, i + k))
+                seen.add(run)
+        out[d] = [x for j, x in enumerate(w) if j not in gone]
+    return out
+
+
+def test_pipeline_line_dedup_takes_long_lines_and_short_documents(spark):
+    rng = random.Random(6)
+    line = lambda k: " ".join(rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(k))
+    long, pair, short, three = line(20), line(6) + "\n" + line(6), "a short one", "p\nq\nr"
+    rows = [(0, f"{line(4)}\n{long}\nend"), (1, f"new {line(3)}\n{long}\nend"), (2, long), (3, short), (4, short), (5, f"{short}\nand more"), (6, f"{pair}\n{line(3)}")]
+    rows += [(7, f"{line(2)}\n{pair}"), (8, pair), (9, three), (10, f"{line(2)}\n{three}\n\n{long}"), (11, ""), (12, ""), (13, "a\n\nb\n\n"), (14, f"{long}\n{long}"), (15, "two\nlines"), (16, "two\nlines")]
+    want = brute_line_copies(rows, linededup.MIN_LINES, linededup.MIN_CHARS)
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs, min_chars=linededup.MIN_CHARS).collect()}
+    assert {d: (r.text, r.n_removed, bool(r.copy_depth)) for d, r in got.items()} == {d: ("\n".join(want[d]), len(t.split("\n")) - len(want[d]), len(t.split("\n")) > len(want[d])) for d, t in rows}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {d: "\n".join(x) for d, x in want.items() if x}
+    assert {2, 4, 8, 14, 16}.isdisjoint(d for d, x in want.items() if x) and want[1] != dict(rows)[1].split("\n")
