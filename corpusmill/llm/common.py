@@ -180,7 +180,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     The edges never leave the executors; every round is written to the shared folder, so a lost executor costs one round at most and
     a plan never reads the one before. Star steps keep components and only move links towards smaller nodes; it ends when a round
-    changes no link."""
+    changes no link, and raises an error if that takes more than `rounds`."""
     e = stored(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct())
     seen = None
     for _ in range(rounds):
@@ -194,6 +194,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if tuple(now) == seen:
             break
         seen = tuple(now)
+    else:
+        raise RuntimeError(f"components: links still change after {rounds} rounds")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from corpusmill.llm import fingerprints, linededup
+from corpusmill.llm import common, fingerprints, linededup
 
 WORDS = "one two three four six seven eight nine zehn hundert mille дом мир 語 文 x9 7".split()
 
@@ -60,3 +60,10 @@ def test_pipeline_line_dedup_takes_long_lines_and_short_documents(spark):
     assert {d: (r.text, r.n_removed, bool(r.copy_depth)) for d, r in got.items()} == {d: ("\n".join(want[d]), len(t.split("\n")) - len(want[d]), len(t.split("\n")) > len(want[d])) for d, t in rows}
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {d: "\n".join(x) for d, x in want.items() if x}
     assert {2, 4, 8, 14, 16}.isdisjoint(d for d, x in want.items() if x) and want[1] != dict(rows)[1].split("\n")
+
+
+def test_components_do_not_end_early(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        common.components(edges, rounds=1)
+    assert {r.root for r in common.components(edges).collect()} == {0}
