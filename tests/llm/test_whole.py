@@ -2,11 +2,12 @@
 
 import random
 import re
+import zlib
 
 import pytest
 
 import corpus_pipeline
-from corpusmill.llm import common, fingerprints, linededup
+from corpusmill.llm import common, fingerprints, linededup, packing
 
 WORDS = "one two three four six seven eight nine zehn hundert mille дом мир 語 文 x9 7".split()
 
@@ -67,3 +68,11 @@ def test_components_do_not_end_early(spark):
     with pytest.raises(RuntimeError):
         common.components(edges, rounds=1)
     assert {r.root for r in common.components(edges).collect()} == {0}
+
+
+def test_pipeline_packing_returns_token_ids(spark):
+    docs = spark.createDataFrame([(1, "one two three " * 900), (2, "four"), (3, None)], "doc_id long, text string")
+    got = sorted(corpus_pipeline.packed(spark, docs, "").collect(), key=lambda r: (r.doc_id, r.start))
+    for r in packing.token_ids(docs).collect():
+        assert b"".join(bytes(x.ids) for x in got if x.doc_id == r.doc_id) == bytes(r.ids)
+    assert len(got) > 3 and all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in got)
