@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled at once; bounds the temporaries of the numpy kernels (about 40 bytes for each byte).
 BLOCK_BYTES = 1 << 20
+#: Bytes in one Arrow batch on its way to Python.
+BATCH_BYTES = 8 << 20
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -58,8 +60,19 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             i = j
 
 
-def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    col = pc.fill_null(col, "").cast(pa.large_string())
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow, with batches of at most BATCH_BYTES (or one row), so that long texts do not pile up in a task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
+def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column; null is empty."""
+    return utf8(col.cast(pa.large_binary()), b"", pa.large_binary())
+
+
+def utf8(col: pa.Array, null: str | bytes = "", as_: pa.DataType = pa.large_string()) -> tuple[np.ndarray, np.ndarray]:
+    col = pc.fill_null(col, null).cast(as_)
     offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     raw = col.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
@@ -179,10 +192,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """(node, root): the least node reachable, for the nodes of the edges, by alternating large-star and small-star steps.
 
     The edges never leave the executors; every round is written to the shared folder, so a lost executor costs one round at most and
-    a plan never reads the one before. Star steps keep components and only move links towards smaller nodes; it ends when a round
-    changes no link, and raises an error if that takes more than `rounds`."""
-    e = stored(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct())
-    seen = None
+    a plan never reads the one before. Star steps keep components and only move links towards smaller nodes; it ends when the links are
+    stars, no node being in the middle of one and at the end of another or at the ends of two, and raises an error if that takes more
+    than `rounds`."""
+    e = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
     for _ in range(rounds):
         both = e.select(F.expr("inline(array(struct(u, v), struct(v as u, u as v)))"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -190,13 +203,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.expr("inline(array(struct(u, m as v), struct(v as u, m as v)))"))
         e = stored(small.where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
+        ends = e.select(F.expr("inline(array(struct(u as x, 1 as end, 0 as middle), struct(v as x, 0 as end, 1 as middle)))"))
+        if ends.groupBy("x").agg(F.sum("end").alias("n"), F.max("middle").alias("m")).where("n > 1 or n = 1 and m = 1").isEmpty():
             break
-        seen = tuple(now)
     else:
         raise RuntimeError(f"components: links still change after {rounds} rounds")
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 # ------------------------------------------------------------------ joins with a checked small side
