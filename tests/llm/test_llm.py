@@ -304,7 +304,7 @@ def test_every_byte_counts_in_the_network():
 
 def units(text):
     out = set()
-    for p in re.split(r"\n+|(?<=[.,!?;:/])\s+(?=[A-Ca-c])", text or ""):
+    for p in re.split(r"\n+|(?<=[^\w\s])\s+|(?<=_)\s+|(?<=[\u3002\uff01\uff1f\uff1b])", text or ""):
         out |= {p} if p else set()
     return out
 
@@ -320,6 +320,7 @@ def test_fingerprints(docs, rows, empty):
         assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert got[d].near_edited == pytest.approx(like(units(t), units(edited)), abs=1e-9), d
         assert got[d].near_next == pytest.approx(like(units(t), units(nxt)), abs=1e-9), d
+        assert (len(got[d].removed), len(got[d].added)) == (len(units(t) - units(edited)), len(units(edited) - units(t)))
     same: dict = {}
     for d, t, *_ in rows:
         assert same.setdefault(t or "", got[d].fingerprint) == got[d].fingerprint
