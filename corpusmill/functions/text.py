@@ -1,4 +1,5 @@
-"""Text functions as column expressions. Java's `(?U)` makes \\w, \\s and \\b Unicode-aware."""
+"""Text functions as column expressions. Java's `(?U)` makes \\w, \\s and \\b Unicode-aware. Repeated groups are possessive: Java runs those in
+a loop, while others call themselves once a repetition and end the JVM's stack on long texts."""
 
 from __future__ import annotations
 
@@ -23,8 +24,10 @@ BOILERPLATE = (
 MAIL = r"\S+@\S+\.(com|edu|org|net|io|ai)"
 AFFILIATIONS = (r"(University|Institute|Laboratory|Inc\.|Corp\.|Ltd\.) of \w+", r"\w+ (University|Institute|College|Laboratory)")
 MATH = ((r"\b[αβγδεζηθικλμνξοπρστυφχψω]\b", ""), (r"\s+[∈∉⊂⊆∪∩∑∏∫≈≠≤≥]+\s+", " "), (r"Equation\s*\d+", ""), (r"Formula\s*\d+", ""))
-LINK = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
-STOPWORDS = "a an and are as at be by for from how if in into is it of on or that the their this to what when where which with why".split()
+LINK = r"http[s]?://[a-zA-Z0-9$-_@.&+!*\\(),]++"
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "if", "in", "into", "is", "it", "of", "on", "or", "that", "the", "their", "this", "to", "what", "when", "where", "which", "with", "why",
+]
 # End of fixed values.
 
 
@@ -69,7 +72,7 @@ def strip_math(c: Column) -> Column:
 
 
 def strip_tables(c: Column) -> Column:
-    return sub(c, r"(\|.*?\|.*?\n){2,}", "\n")
+    return sub(c, r"(?:\|[^\n|]*+\|[^\n]*+\n){2,}+", "\n")
 
 
 def fix_sentences(c: Column) -> Column:
@@ -119,15 +122,15 @@ def prefix_key(c: Column, n: int = 40) -> Column:
 
 
 def safe_filename(c: Column, most: int = 150) -> Column:
-    x = sub(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1f]', ""), r"\s+", " ")
-    x = F.regexp_replace(F.trim(x), r"^[. ]+|[. ]+$", "")
-    short = F.regexp_replace(F.substring(x, 1, most), r"\s+\S*$", "")
-    x = F.when(F.length(x) > most, short).otherwise(x)
+    """Without the characters that file systems forbid, without dots and spaces at the ends, cut at the last space within `most`."""
+    x = F.regexp_replace(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1f]', ""), r"^[. ]+|[. ]+$", "")
+    x = F.when(F.length(x) > most, F.regexp_replace(F.substring(x, 1, most), r" [^ ]*$", "")).otherwise(x)
     return F.when(F.length(x) == 0, "untitled").otherwise(x)
 
 
-def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+def slug(c: Column, default: str = "profile") -> Column:
+    x = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(F.length(x) == 0, default).otherwise(x)
 
 
 def token_estimate(c: Column) -> Column:
@@ -180,11 +183,13 @@ def paragraphs(c: Column) -> Column:
 
 def head_tokens(c: Column, n: int) -> Column:
     """The text up to the end of its n-th word; all of it when it has no more."""
-    return F.when(word_count(c) <= n, c).otherwise(strip(F.regexp_extract(c, rf"(?Us)^(?:.*?\b\w+\b){{{n}}}", 0)))
+    return F.when(word_count(c) <= n, c).otherwise(strip(F.regexp_extract(c, rf"(?Us)^(?:\W*+\w++){{{n}}}+", 0)))
 
 
 def tail_tokens(c: Column, n: int) -> Column:
-    return F.when(word_count(c) <= n, c).otherwise(strip(F.regexp_extract(c, rf"(?Us)\b\w+\b(?:(?:(?!\b\w+\b).)*\b\w+\b){{{n - 1}}}(?:(?!\b\w).)*$", 0)))
+    """The text from the start of its n-th word from the end; all of it when it has no more."""
+    before = F.concat(F.lit(r"(?Us)^(?:\W*+\w++){"), (word_count(c) - n).cast("string"), F.lit(r"}+\W*+"))
+    return F.when(word_count(c) <= n, c).otherwise(strip(F.regexp_replace(c, before, F.lit(""))))
 
 
 def context_prefix(title: Column, section: Column) -> Column:

@@ -10,8 +10,8 @@ from ..functions import text as T
 # Weights of the composite score and the bounds of accepted answers.
 WEIGHTS = (("correctness", 0.4), ("completeness", 0.3), ("clarity", 0.2), ("conciseness", 0.1))
 BOUNDS = {"rag_unanswerable": (40, 240), "rag": (100, 420), "": (80, 420)}
-LOW_QUALITY = r"(?i)permission to make digital|all rights reserved|isbn|copyright"
-META_TALK = r"(?i)as an ai|i cannot|language model"
+LOW_QUALITY = r"(?iU)(table of contents|acknowledgements|organization of thesis|chapter 1|chapter 2|references\s+\d)"
+META_TALK = r"(?iU)(as an ai|i do not have access|i cannot browse|language model)"
 # End of fixed values.
 
 
@@ -43,7 +43,7 @@ def reject_reason(df: DataFrame) -> DataFrame:
     shape = F.when(text("source_split") == "rag", head & asks).otherwise(~head)
     blank = F.lit(False)
     for c in ("system", "question", "response", "category"):
-        blank = blank | (F.length(F.trim(text(c))) == 0)
+        blank = blank | (F.length(T.strip(text(c))) == 0)
     dirty = F.lit(False)
     for c in ("question", "response", "evidence_text"):
         dirty = dirty | text(c).rlike(LOW_QUALITY)

@@ -175,6 +175,8 @@ def test_rejection_order(spark):
     long = " ".join(["fiber switch routing latency network"] * 20)
     base = {"system": "s", "question": "q", "response": long, "category": "c", "source_split": "hpn", "paper_title": "P", "evidence_text": long, "n_evidence": 1}
     cases = [({}, ""), ({"system": " "}, "missing_required_fields"), ({"source_split": "rag"}, "bad_question_format"), ({"n_evidence": 0}, "missing_evidence"), ({"response": "short"}, "response_too_short"), ({"response": long * 5 + " x"}, "response_too_long"), ({"evidence_text": "zebra"}, "low_evidence_overlap"), ({"paper_title": "Unknown"}, "unknown_paper_title")]
+    cases += [({"system": "\t\n"}, "missing_required_fields"), ({"evidence_text": long + " Table of Contents"}, "low_quality_front_matter"), ({"evidence_text": long + " permission to make digital copies"}, "")]
+    cases += [({"response": long + " I do not have access"}, "assistant_meta_language"), ({"response": long + " i cannot say"}, ""), ({"question": "References  1"}, "low_quality_front_matter")]
     df = spark.createDataFrame([{**base, **c, "i": i} for i, (c, _) in enumerate(cases)])
     assert [r.reason for r in tables.reject_reason(df).orderBy("i").collect()] == [w for _, w in cases]
 
@@ -214,9 +216,12 @@ def test_quotes_and_titles(spark):
     from corpusmill.operators import evidence
 
     text = " ".join(f"word{i}" for i in range(200))
-    assert evidence.closest("WORD5  word6", text) == 1.0 and evidence.closest("nothing alike", "zzz") < 0.5
+    assert evidence.closest("word5  word6", text) > 0.3 and evidence.closest("WORD5", text) == evidence.closest("nothing alike", "zzz") == evidence.closest("", text) == 0.0
+    assert evidence.closest("abc def", "x abc dxf") == pytest.approx(2 * 6 / 14)
     best, score = evidence.repair(" ".join(f"word{i}" for i in range(50, 70)), text)
-    assert "word51" in best and len(best) <= 240 and score > 0
+    assert best.startswith("word45 word46") and len(best) <= 240 and score == 20 / 25
+    odd = " ".join(f"w{i}" for i in range(30)) + " target words here " + " ".join(f"v{i}" for i in range(31))
+    assert evidence.repair("target words here v0 v1 v2 v3 v4 v5 v6 v7 v8", odd)[0].split()[0] == "w17"  # every window is tried
     assert evidence.repair("none of these", text) == ("", 0.0)
     a = spark.createDataFrame([(1, "Deep learning for optical networks"), (2, "A survey of optical switching in data centers today"), (3, "Unrelated")], "l_id long, title string")
     b = spark.createDataFrame([(10, "deep LEARNING, for optical networks"), (11, "A survey of optical switching in data centers"), (12, "optical"), (13, None)], "r_id long, title string")
@@ -228,11 +233,19 @@ def test_small_expressions(spark):
     from corpusmill.operators import evidence
 
     df = spark.createDataFrame([("WDM and OWDM, WDM2", ["u", "v"])], "x string, a array<string>")
-    assert df.select(evidence.expand_acronyms(F.col("x"), {"WDM": "wavelength WDM", "OWDM": "o"})).first()[0] == "WDM (wavelength WDM) and OWDM (o), WDM2"
-    assert df.select(evidence.user_turn(F.col("a"), F.lit("q?"))).first()[0] == "Excerpts:\n\n[1] u\n\n[2] v\n\nQuestion: q?"
-    assert df.select(evidence.chunk_label(F.lit("T"), F.lit("2.1"), F.lit("Design"))).first()[0] == "T § 2.1 Design"
-    places = spark.createDataFrame([([("", "repository"), ("j", "journal"), ("r", "repository")],), ([("j", "journal")],), ([],)], "p array<struct<pdf_url:string,type:string>>")
-    assert [r[0] for r in places.select(evidence.pdf_url(F.col("p"))).collect()] == ["r", "j", None]
+    assert df.select(evidence.expand_acronyms(F.col("x"), {"WDM": "wavelength WDM", "OWDM": "o"})).first()[0] == "WDM wavelength WDM and OWDM o, WDM2"
+    chunks = spark.createDataFrame([([("T", "2.1", "Design", "u"), ("x" * 81, None, None, "v"), ("U", "", "Abstract", "w")],)], "c array<struct<title:string,number:string,heading:string,text:string>>")
+    want = f"Excerpts:\n\n[1] Paper: 'T' | Section: 2.1 Design\nu\n\n[2] Paper: '{'x' * 77}…' | Section: Body\nv\n\n[3] Paper: 'U' | Section: Abstract\nw\n\nQuestion: q?"
+    assert chunks.select(evidence.user_turn(F.col("c"), F.lit("q?"))).first()[0] == want
+    label = lambda t, n, h: df.select(evidence.chunk_label(F.lit(t), F.lit(n), F.lit(h))).first()[0]
+    assert (label("T", "2.1", "Design"), label("y" * 41, "", "Abstract")) == ("T §2.1 Design", "y" * 40 + "… §Abstract")
+    blocked = "https://ieeexplore.ieee.org/x.pdf"
+    rows = [[("", "repository"), (blocked, "journal"), ("https://arxiv.org/r", None)], [(blocked, "journal")], [(blocked, "journal"), (blocked + "2", "repository")], [("j", "journal"), ("r", "repository")], []]
+    places = spark.createDataFrame([(r,) for r in rows], "p array<struct<pdf_url:string,type:string>>")
+    assert [r[0] for r in places.select(evidence.pdf_url(F.col("p"))).collect()] == ["https://arxiv.org/r", blocked, blocked + "2", "j", None]
+    rows = [["https://x", "http://CreativeCommons.org/licenses/BY-nc/4.0"], ["https://www.elsevier.com/tdm/x", "https://acm.org"], ["https://www.acm.org/y"], ["https://creativecommons.org/publicdomain/zero"], [], [None, ""]]
+    urls = spark.createDataFrame([(r,) for r in rows], "u array<string>")
+    assert [r[0] for r in urls.select(evidence.licence(F.col("u"))).collect()] == ["cc-by-nc", "publisher-tdm (elsevier)", "publisher-copyright (acm)", "publisher-specific", "not-stated", "not-stated"]
     ranked = spark.createDataFrame([(1, i, "q", "t" * i) for i in range(6)], "query_id long, item_id long, query string, text string")
     assert [r.item_id for r in evidence.rerank(ranked, lambda q, x: x.str.len(), 2).orderBy("rank").collect()] == [5, 4]
     checked = evidence.first_failure(ranked, [("a", F.col("item_id") > 0), ("b", F.col("item_id") > 3)])

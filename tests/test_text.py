@@ -34,6 +34,9 @@ def test_keys_and_counts(spark):
     assert one(spark, "Why? Yes. no (Maybe) e.g. x", T.sentences) == ["Why?", "Yes. no (Maybe) e.g. x"]
     assert one(spark, "..bad/name?. ", T.safe_filename) == "badname"
     assert one(spark, "///", T.safe_filename) == "untitled"
+    assert one(spark, ' My  "Paper": a/b. ', T.safe_filename) == "My  Paper ab"
+    assert one(spark, "word " * 40, T.safe_filename) == " ".join(["word"] * 30)
+    assert (one(spark, " My Profile (v2) ", T.slug), one(spark, "??", T.slug)) == ("my_profile_v2", "profile")
 
 
 def test_truncation_keeps_the_original(spark):
@@ -67,3 +70,20 @@ def test_lenient_json(spark):
     assert one(spark, '{"a": "4", "b": 5}', lambda c: J.scores(c, ("a", "b"))) == {"a": 4.0, "b": 5.0}
     assert one(spark, '{"a": "x", "b": 5}', lambda c: J.scores(c, ("a", "b"))) is None
     assert [one(spark, v, J.relevance) for v in ("RELEVANT", "not_relevant: no", "???")] == [True, False, True]
+
+
+def test_long_texts_do_not_end_the_stack(spark):
+    words = " ".join(f"w{i}" for i in range(60_000))
+    assert one(spark, words, lambda c: T.tail_tokens(c, 900)) == " ".join(f"w{i}" for i in range(59_100, 60_000))
+    assert one(spark, words, lambda c: T.head_tokens(c, 50_000)) == " ".join(f"w{i}" for i in range(50_000))
+    assert one(spark, "x\n" + "|a|b|\n" * 20_000 + "|c|\ny", T.strip_tables) == "x\n\ny"
+    long = "A sentence of enough words see http://x/" + "aB0%2F" * 20_000 + " and then more words follow here"
+    assert one(spark, long, T.clean_text) == "A sentence of enough words see and then more words follow here"
+
+
+def test_fallback_body_follows_the_abstract(spark):
+    from corpusmill.operators import chunking
+
+    df = spark.createDataFrame([(1, "Title X\nAbstract  we do\nthings"), (2, "no mark at all"), (3, None)], "k long, t string")
+    got = {r.k: r for r in chunking.parsed(df, "k", "t").collect()}
+    assert [got[k].sections[0].text for k in (1, 2, 3)] == ["we do things", "no mark at all", ""] and got[1].method == "fallback"
