@@ -4,16 +4,17 @@ enough are kept, and an inverted index from each rule's rarest token finds the r
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, stored, table
+from .common import BROADCAST_IDS, stored, table, width
 
 #: Fixed by the query's contract: host and path of a rule, and what it says.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-SUPPORT, CONFIDENCE, LIFT = 0.005, 0.6, 1.2
-#: A combination counts only if so many labelled URLs have it.
-LEAST = 20
+#: Share of the labelled URLs that a combination needs, and how often as bad as all labelled URLs it must be, at every size.
+SUPPORT, LIFT = 0.005, 1.2
+#: The confidence that is compared is the lower end of a Wilson interval so many standard errors wide, so that few URLs prove little.
+ERRORS = 1.96
 BAD = "label=bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -46,19 +47,36 @@ def curated(h: Column, p: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
+def merged(baskets: DataFrame, support: float, rows: int) -> DataFrame:
+    """(id, items): the frequent tokens of each basket (id, tokens), one for all tokens that stand in the same baskets.
+
+    Such tokens have the same rules, so nothing is lost, and a template's many constant parts are one item: without this the item sets
+    of one template would be as many as its parts have subsets."""
+    each = baskets.select("id", F.explode("tokens").alias("token"))
+    where = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("s")).where(F.col("n") >= support * rows)
+    names = where.select("token", F.first("token").over(Window.partitionBy("n", "x", "s").orderBy("token")).alias("item"))
+    return each.join(names, "token").groupBy("id").agg(F.collect_set("item").alias("items"))
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, lift: float = LIFT) -> DataFrame:
     """(antecedent, confidence, support) of rules that name bad URLs, from labelled(url, bad).
 
-    A rule goes if a part of it is as confident; what is left is small by `support`: a set of tokens below it is never counted."""
-    schema = "antecedent array<string>, confidence double, support double"
-    if labelled.isEmpty():
-        return labelled.sparkSession.createDataFrame([], schema)
-    items = labelled.select(F.when(F.col("bad"), F.concat(tokens(F.col("url")), F.array(F.lit(BAD)))).otherwise(tokens(F.col("url"))).alias("items")).where("size(items) > 0")
-    support = max(support, LEAST / labelled.count())
-    if support > 1:
-        return labelled.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(items)
-    rules = stored(model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.col("lift") >= lift)).select("antecedent", "confidence", "support"))
+    A rule counts if at least `support` of the labelled URLs have its tokens and the lower bound of the share of bad ones among them (ERRORS
+    standard errors) is above `lift` times the share among all. The bound is its confidence. A rule goes if a part of it is as confident."""
+    spark, schema = labelled.sparkSession, "antecedent array<string>, confidence double, support double"
+    urls = stored(labelled.select(F.monotonically_increasing_id().alias("id"), tokens(F.col("url")).alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad")).where("size(tokens) > 0"))
+    rows, bad = urls.agg(F.count("*"), F.sum(F.col("bad").cast("long"))).first()
+    if not bad:
+        return spark.createDataFrame([], schema)
+    items = merged(urls, support, rows).join(urls.select("id", "bad"), "id")
+    items = items.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=max(support / 2, 1 / rows), minConfidence=bad / rows, numPartitions=width(spark)).fit(items)
+    found = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD))
+    # support of a rule is of its tokens with the label; that of its tokens alone is support / confidence. FPGrowth knows the share of baskets.
+    n, base = items.count(), bad / rows
+    k, p, z = F.round(F.col("support") * n / F.col("confidence")), F.col("confidence"), ERRORS
+    low = (p + z * z / (2 * k) - z * F.sqrt(p * (1 - p) / k + z * z / (4 * k * k))) / (1 + z * z / k)
+    rules = stored(found.select("antecedent", low.alias("confidence"), (k / rows).alias("support")).where((F.col("support") >= support) & (F.col("confidence") > lift * base)))
     # an antecedent is implied if a shorter one inside it is at least as confident; both share the shorter one's first token
     short = rules.select(F.array_sort("antecedent").alias("s"), F.col("confidence").alias("sc")).withColumn("key", F.element_at("s", 1))
     long = rules.select("antecedent", "confidence", F.explode("antecedent").alias("key"))
@@ -81,8 +99,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES) ->
     """page_id, host, path, rule, verdict, mined, confidence of every row.
 
     A curated rule decides where one fits; elsewhere a URL is blocked if a mined rule fits, else allowed. A null URL or one without
-    `://` has empty host and path, fits no curated rule and is allowed unless mined tokens say otherwise. Rows that repeat get the same
-    answer; without labels nothing is mined; an empty table gives no row; other columns are not read."""
+    `://` has empty host and path and fits no curated rule; a null URL has no tokens and is allowed. Rows that repeat get the same answer; without labels nothing is mined; an empty table gives no row; other columns are not read."""
     found = match(pages, mine(labelled))
     h, p = host(F.col("url")), path(F.col("url"))
     out = pages.select("page_id", "url").join(found, "url", "left").select("page_id", h.alias("host"), p.alias("path"), curated(h, p, rules).alias("rule"), "antecedent", "confidence")
