@@ -26,9 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under the checkpoint folder all executors see."""
+    """A new folder name under the checkpoint folder all executors see; a local master may do without that setting, a cluster may not."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -39,6 +43,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as it takes to differ from every column of df."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, ASCII_LOWER, blocks, ngrams, runs_of, table, utf8, winnow, words
+from .common import ALNUM, ASCII_LOWER, blocks, in_arrow, ngrams, runs_of, table, utf8, winnow, words
 
 WINDOW, K = 10, 5
 #: Benchmark text in one broadcast block; a larger benchmark is cut into more blocks, used one after another.
@@ -135,7 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits array<long>, items array<string>")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits array<long>, items array<string>")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -146,7 +146,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int =
         for batch, _, found in matches(batches, casts, window, k):
             yield batch.filter(pa.array([r not in found for r in range(batch.num_rows)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import blocks, free_name, in_arrow, table
 
 DIMS, CENTROIDS, STEPS = 4096, 4, 12
 #: Labelled documents a language that the fit may take (about; a fixed hash of doc_id chooses them, whole texts are read).
@@ -89,9 +89,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, dims:
     return {"langs": names, "idf": idf, "centroids": np.vstack(cents).astype(np.float32), "radius": np.array(radius)}
 
 
-def judge(model: dict, batch: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def judge(model: dict, batch: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, letters: str = "letters_") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(nearest centroid, cosine, rejected) of each row; the last centroid number plus one stands for no language."""
-    ok = batch.column("letters_").to_numpy(zero_copy_only=False).astype(bool)
+    ok = batch.column(letters).to_numpy(zero_copy_only=False).astype(bool)
     none = len(model["langs"])
     if not none:
         return np.full(len(ok), none), np.zeros(len(ok)), np.ones(len(ok), bool)
@@ -101,8 +101,8 @@ def judge(model: dict, batch: pa.RecordBatch, data: np.ndarray, offs: np.ndarray
     return np.where(ok, best, none), np.where(ok, top, 0.0), ~ok | (top < model["radius"][best])
 
 
-def _letters() -> Column:
-    return F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters_")
+def _letters(name: str = "letters_") -> Column:
+    return F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias(name)
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -119,18 +119,18 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             best, top, bad = judge(m, batch, data, offs)
             yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "lang_pred": pa.array(langs[best].tolist(), pa.string()), "score": pa.array(top), "rejected": pa.array(bad)})
 
-    return docs.select("doc_id", "text", _letters()).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return in_arrow(docs.select("doc_id", "text", _letters()), run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of docs, all columns, that the model does not reject."""
-    cast = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of docs, all columns whatever their names, that the model does not reject: no null texts and none without a letter."""
+    cast, name = docs.sparkSession.sparkContext.broadcast(model), free_name(docs, "letters_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in blocks(batches, limit=1 << 19):
-            yield batch.filter(pa.array(~judge(cast.value, batch, data, offs)[2])).drop_columns(["letters_"])
+            yield batch.filter(pa.array(~judge(cast.value, batch, data, offs, name)[2])).drop_columns([name])
 
-    return docs.select("*", _letters()).mapInArrow(run, docs.schema)
+    return in_arrow(docs.select("*", _letters(name)), run, docs.schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

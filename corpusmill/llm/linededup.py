@@ -8,13 +8,13 @@ if they are long in characters or whole texts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_ids, stored, table, width
+from .common import free_name, in_arrow, keep_ids, stored, table, width
 
 #: Lines in the shortest run that counts as repeated.
 MIN_LINES = 3
@@ -42,7 +42,7 @@ def ranked(intervals: DataFrame) -> DataFrame:
             first += k
 
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    numbered = stored(ordered.mapInArrow(number, f"{names}, part int, i long"))
+    numbered = stored(in_arrow(ordered, number, f"{names}, part int, i long"))
     base, run = [], 0
     for part, size in sorted(map(tuple, numbered.groupBy("part").agg(F.count("*")).collect())):  # one number a range
         base.append((part, run))
@@ -51,6 +51,26 @@ def ranked(intervals: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(shift), "part").withColumn("rank", F.col("base") + F.col("i")).drop("part", "i", "base")
 
 
+def with_unique_ids(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame] | None]:
+    """docs as they are and None where no doc_id repeats. Else docs with new ids, one for each doc_id and text, in the order of doc_id and a
+    hash of the text, and a function that gives a result its own ids back. Null ids stay null."""
+    some = docs.where("doc_id is not null")
+    if some.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return docs, None
+    t = free_name(docs, "text_hash_")
+    hashed = docs.withColumn(t, F.xxhash64(F.coalesce("text", F.lit(""))))
+    keys = stored(ranked(hashed.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("r"), F.col(t).alias("r2")).distinct()))
+    rank = free_name(docs, "rank")
+    new = hashed.join(keys.select(F.col("r").alias("doc_id"), F.col("r2").alias(t), F.col("rank").alias(rank)), ["doc_id", t], "left")
+    new = new.select(*[F.col(rank).alias("doc_id") if c == "doc_id" else F.col(c) for c in docs.columns])
+
+    def own(out: DataFrame) -> DataFrame:
+        back = keys.select(F.col("rank").alias("doc_id"), F.col("r").alias(free_name(out, "own_id_")))
+        return out.join(back, "doc_id", "left").select(*[F.col(free_name(out, "own_id_")).alias("doc_id") if c == "doc_id" else F.col(c) for c in out.columns])
+
+    return stored(new), own
+
+
 def deeper(level: DataFrame, step: int) -> DataFrame | None:
     """(doc_id, at, r, f_doc, f_at) at `step` lines more than `level`: suffixes still shared, their interval's rank and first suffix."""
     after = level.select("doc_id", (F.col("at") - step).alias("at"), F.col("r").alias("r2"))
@@ -123,25 +143,32 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, deepest: int | None
 
     Lines are the parts between line feeds. A run of min_lines or more lines that also starts earlier (smaller doc_id, or further up
     in the same document) is removed, run by run as long as the intervals go; the first copy stays. Runs are judged on the input. An
-    empty text is one empty line; null texts stay null, with 0 lines; null ids keep all; rows that repeat a doc_id share what their
-    places lose; an empty table gives no row. Columns of docs named like the four new ones are replaced. copy_depth is the depth of
+    empty text is one empty line; null texts stay null, with 0 lines; null ids keep all; rows that repeat a doc_id with other texts are
+    documents of their own, in the order of a hash of their texts, and rows that repeat both are one; an empty table gives no row. Columns of docs named like the four new ones are replaced. copy_depth is the depth of
     the deepest interval in which the document is a later copy (min_lines times a power of two; 0: none).
 
     With min_chars a repeated run of fewer lines goes as well if its lines, stripped, have that many characters or if it is a whole
     text that is not blank, so that a single long line and a copy of a short document count."""
     docs = docs.drop(*[c.split()[0] for c in MARKS.split(", ")])
+    docs, own_ids = with_unique_ids(docs)
+    out = _deduped(docs, min_lines, deepest, min_chars)
+    return out if own_ids is None else own_ids(out)
+
+
+def _deduped(docs: DataFrame, min_lines: int, deepest: int | None, min_chars: int | None) -> DataFrame:
+    copies_ = free_name(docs, "copies_")
     starts, deep = later_copies(docs, min_lines, deepest, min_chars is not None)
     zero = [F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"), F.lit(0).alias("copy_depth")]
     same = lambda d: d.select("*", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), *zero)
     if starts is None:
         return same(docs)
-    ids = stored(starts.join(deep, "doc_id").select("doc_id", F.struct("starts", "longest").alias("copies_")))
+    ids = stored(starts.join(deep, "doc_id").select("doc_id", F.struct("starts", "longest").alias(copies_)))
     n = ids.count()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_lines, gone, runs, texts, depth = [], [], [], [], []
-            for text, at in zip(b.column("text").to_pylist(), b.column("copies_").to_pylist(), strict=True):
+            for text, at in zip(b.column("text").to_pylist(), b.column(copies_).to_pylist(), strict=True):
                 lines = text.split("\n")
                 copies = [(s["at"], s["k"]) for s in at["starts"] if s["at"] < len(lines)]
                 kept, k = without(lines, [(s, k) for s, k in copies if k >= min_lines or counts(lines, s, k, min_chars)])
@@ -150,16 +177,16 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, deepest: int | None
                 runs.append(k)
                 texts.append("\n".join(kept))
                 depth.append(at["longest"] if k else 0)
-            b = b.drop_columns(["copies_"]).set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+            b = b.drop_columns([copies_]).set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             new = [pa.array(x, pa.int64()) for x in (n_lines, gone, runs)] + [pa.array(depth, pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *[c.split()[0] for c in MARKS.split(", ")]])
 
     schema = same(docs).schema
     own = [f.name for f in docs.schema]
-    changed = keep_ids(docs, ids.select("doc_id"), "doc_id", n=n).select(own).where("text is not null").join(ids, "doc_id").select(*own, "copies_").mapInArrow(cut, schema)
+    changed = keep_ids(docs, ids.select("doc_id"), "doc_id", n=n).select(own).where("text is not null").join(ids, "doc_id").select(*own, copies_)
     rest = keep_ids(docs, ids.select("doc_id"), "doc_id", "left_anti", n=n).select(own)
     nulls = keep_ids(docs.where("text is null"), ids.select("doc_id"), "doc_id", n=n).select(own)
-    return changed.unionByName(same(rest)).unionByName(same(nulls))
+    return in_arrow(changed, cut, schema).unionByName(same(rest)).unionByName(same(nulls))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, _Q, blocks, keep_ids, mix, ngrams, runs_of, stored, table, width, winnow, words
+from .common import NOT_SPACE, _Q, blocks, in_arrow, keep_ids, mix, ngrams, runs_of, stored, table, width, winnow, words
+from .linededup import with_unique_ids
 
 WINDOW = 20
 #: Words of reference in one automaton, and of documents streamed through one copy of it.
@@ -107,7 +108,7 @@ def _profile(docs: DataFrame, window: int) -> DataFrame:
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, whole string, prints array<long>")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_words long, whole string, prints array<long>")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -143,7 +144,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 acc = acc * _Q + h[first + j]
             yield pa.record_batch({"w": pa.array(mix(acc).view(np.int64)), "doc_id": batch.column("doc_id").take(pa.array(row[first])), "at": pa.array((first - starts[row[first]]).astype(np.int32))})
 
-    return docs.select("doc_id", "text", "shared").mapInArrow(run, "w long, doc_id long, at int")
+    return in_arrow(docs.select("doc_id", "text", "shared"), run, "w long, doc_id long, at int")
 
 
 def _runs(starts: list[int], window: int) -> list[tuple[int, int]]:
@@ -194,7 +195,7 @@ def repeated_windows(docs: DataFrame, profile: DataFrame, window: int = WINDOW)
                                 out[k].append(v)
             yield pa.record_batch({k: pa.array(v, {"ref": pa.bool_(), "words": pa.binary()}.get(k, pa.int64())) for k, v in out.items()})
 
-    pieces = stored(some.select("doc_id", "text", "roles").mapInArrow(spans, "shard long, ref boolean, doc_id long, at long, words binary"))
+    pieces = stored(in_arrow(some.select("doc_id", "text", "roles"), spans, "shard long, ref boolean, doc_id long, at long, words binary"))
     load = pieces.where("not ref").groupBy("shard").agg(F.sum(F.octet_length("words") / 6).alias("load")).select("shard", F.greatest(F.lit(1), F.ceil(F.col("load") / STREAM_WORDS)).cast("int").alias("copies"))
     placed = pieces.join(load, "shard").withColumn("copy", F.explode(F.when(F.col("ref"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int")))))
     placed = placed.repartition(width(docs.sparkSession), "shard", "copy").sortWithinPartitions("shard", "copy", F.desc("ref"), "doc_id", "at")
@@ -220,7 +221,7 @@ def repeated_windows(docs: DataFrame, profile: DataFrame, window: int = WINDOW)
                         starts.append(at + i)
             yield pa.record_batch({"doc_id": pa.array(docs_, pa.int64()), "at": pa.array(starts, pa.int64())})
 
-    found = placed.select("shard", "copy", "ref", "doc_id", "at", "words").mapInArrow(stream, "doc_id long, at long")
+    found = in_arrow(placed.select("shard", "copy", "ref", "doc_id", "at", "words"), stream, "doc_id long, at long")
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("starts")), copies
 
 
@@ -235,8 +236,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Words are runs of characters other than the six ASCII spaces. A word goes if a window over it also starts earlier, in a document
     with a smaller doc_id or further up in the same one; the windows are those of the input. Null and empty texts have no words; a
-    text shorter than a window keeps all; a text whose words are those of an earlier one, a window or more, loses all. Rows that repeat
-    a doc_id are not earlier than each other, and null ids keep all. An empty table gives no row; other columns are not read."""
+    text shorter than a window keeps all; a text whose words are those of an earlier one, a window or more, loses all. Rows that
+    repeat a doc_id with other texts are documents of their own, in the order of a hash of their texts; rows that repeat both are one
+    document; null ids keep all. An empty table gives no row; other columns are not read."""
+    docs, own_ids = with_unique_ids(docs.select("doc_id", "text"))
+    out = _removed(docs, window)
+    return out if own_ids is None else own_ids(out)
+
+
+def _removed(docs: DataFrame, window: int) -> DataFrame:
     profile = stored(_profile(docs, window))
     starts, copies = repeated_windows(docs, profile, window)
     starts = stored(starts)
@@ -256,7 +264,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "gone": pa.array(gone, pa.int64()), "sha": pa.array(sha, pa.string())})
 
     changed = keep_ids(docs.select("doc_id", "text"), starts.select("doc_id"), "doc_id").join(starts, "doc_id")
-    changed = changed.select("doc_id", "text", "starts").mapInArrow(cut, "doc_id long, gone long, sha string").dropDuplicates(["doc_id"])
+    changed = in_arrow(changed.select("doc_id", "text", "starts"), cut, "doc_id long, gone long, sha string").dropDuplicates(["doc_id"])
     out = profile.drop("prints").join(changed, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
     none = hashlib.sha256(b"").hexdigest()
     return out.select(

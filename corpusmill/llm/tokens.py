@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, table
+from .common import blocks, in_arrow, table
 from .packing import _path
 from .packing import tokenizer as load
 from .pieces import Memory, plain_rows, runs, word_level_cuts
@@ -46,7 +46,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
                     n[a:b] = np.bincount(np.searchsorted(at, s, "right") - 1, pieces[inverse], b - a).astype(np.int64)
             yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "n_bytes": pa.array(np.diff(offs)), "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import zlib
 import pytest
 
 import corpus_pipeline
-from corpusmill.llm import common, fingerprints, linededup, packing
+from corpusmill.llm import common, fingerprints, langid, linededup, minhash, packing, registry, substrings, urlrules
 
 WORDS = "one two three four six seven eight nine zehn hundert mille дом мир 語 文 x9 7".split()
 
@@ -76,3 +76,57 @@ def test_pipeline_packing_returns_token_ids(spark):
     for r in packing.token_ids(docs).collect():
         assert b"".join(bytes(x.ids) for x in got if x.doc_id == r.doc_id) == bytes(r.ids)
     assert len(got) > 3 and all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in got)
+
+
+def test_texts_under_one_id_keep_what_repeats_nowhere(spark):
+    """A doc_id that repeats with other texts: each text is judged as a document of its own."""
+    rows = [(1, "a\nb\nc\nd"), (2, "a\nb\nc\nx"), (2, "p\nq\nr\ns"), (2, "p\nq\nr\ns"), (None, "a\nb\nc"), (3, "p\nq\nr")]
+    docs = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, rank string")
+    got = sorted((r.doc_id or 0, r.text, r.rank) for r in linededup.dedup_lines(docs).collect())
+    assert got == sorted([(0, "a\nb\nc", "k"), (1, "a\nb\nc\nd", "k"), (2, "x", "k"), (2, "p\nq\nr\ns", "k"), (2, "p\nq\nr\ns", "k"), (3, "", "k")])
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, words("a", 30)), (2, words("a", 25) + " x"), (2, words("b", 50)), (3, words("c", 10) + " " + words("b", 22))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 30, 0), (2, 26, 25), (2, 50, 0), (3, 32, 22)]
+
+
+def test_columns_with_the_operators_own_names(spark):
+    rows = [(i, f"line {i}\n" + "one\ntwo\nthree", "en", i, i, i, i) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, copies_ long, letters_ long, text_hash_ long, n_lines long")
+    assert sorted(r.copies_ for r in linededup.dedup_lines(docs).collect()) == list(range(6))
+    kept = langid.accepted(docs, langid.fit(docs))
+    assert kept.columns == docs.columns and kept.count() == 6
+    assert sorted(r.letters_ for r in minhash.one_of_each(docs).collect()) == list(range(6))
+
+
+def test_rules_decide_where_labels_depend_on_tokens(spark):
+    rng = random.Random(3)
+    parts = "&".join(f"q{i}=1" for i in range(30))  # a template of thirty constant parts is one item, not 2 ** 30 sets
+    urls = [f"https://h{i % 50}.example.org/{rng.choice('abc')}/{i}?{parts}" for i in range(300)] + [f"http://m{i}.farm.biz/casino/{i % 7}" for i in range(60)]
+    bad = [rng.random() < 0.2 for _ in range(300)] + [rng.random() < 0.9 for _ in range(60)]
+    rows = [(i, u) for i, u in enumerate(urls)] + [(400, None), (401, "no mark casino"), (402, "http://new.farm.biz/x"), (403, "http://www.example.net/en/casino")]
+    labelled = spark.createDataFrame(list(zip(urls, bad, strict=True)), "url string, bad boolean")
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in urlrules.filter_urls(pages, labelled).collect()}
+    assert len(got) == len(rows) and got[402].verdict == "block" and got[402].mined and got[403].verdict == "allow" and got[400].verdict == got[401].verdict == "allow"
+    assert all(got[i].verdict == "block" for i in range(300, 360)) and sum(got[i].verdict == "block" for i in range(300)) < 60
+    none = spark.createDataFrame([(u, rng.random() < 0.3) for u in urls[:300]], "url string, bad boolean").select("url", "bad")
+    assert {r.verdict for r in urlrules.filter_urls(pages.where("page_id < 300"), none.limit(0)).collect()} == {"allow"}
+
+
+def test_registered_queries_keep_their_splits(spark, tmp_path):
+    rng = random.Random(5)
+    langs = {"en": "the cat and dog with house of", "fr": "le chat et chien avec maison où", "de": "der und hund mit haus über die"}
+    rows = [(i, " ".join(rng.choice(langs[x].split()) for _ in range(40)), x) for i, x in enumerate([*langs] * 25)] + [(90, None, "en"), (91, "123 ...", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, int("cat" in (t or "")), 0) for d, t, _ in rows if d % 4], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    q = registry.queries()
+    got = {r.doc_id: r for r in q["op5_language_id"](spark, str(tmp_path)).collect()}
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
+    assert all(got[d].lang_pred == x and 0 <= got[d].score <= 1 for d, _, x in rows[:75]) and got[90].lang_pred == got[91].lang_pred == "und"
+    got = {r.doc_id: r for r in q["op7_quality"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and all(r.held_out == (zlib.crc32(str(d).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for d, r in got.items())
+    got = q["op3_packing"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows} and sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
+    assert {r.doc_id: r.over_limit for r in q["op8_token_counts"](spark, str(tmp_path)).collect()} == {r[0]: False for r in rows}
+    assert {r.doc_id for r in q["op9_near_duplicates"](spark, str(tmp_path)).collect() if r.kept} == {r[0] for r in rows}
