@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once; bounds the temporaries of the numpy kernels (about 40 bytes for each byte).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Bytes in one Arrow batch on its way to Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)

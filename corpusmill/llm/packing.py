@@ -12,14 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, stored, table
-from .pieces import Memory, byte_level_cuts, plain_rows, runs
+from .common import blocks, hash_spans, in_arrow, stored, table
+from .pieces import byte_level_cuts, plain_rows, runs
 
 TOKENIZER = "byte_bpe_50k.json"
 EOS = 1
 LENGTH = 2048
 #: Distinct pieces whose ids a task remembers; beyond it the memory starts anew.
 CACHE = 400_000
+#: Bytes of new pieces that the tokenizer gets as one text.
+TOGETHER = 16_384
 
 
 def tokenizer(path: str):
@@ -31,35 +33,102 @@ def tokenizer(path: str):
 
 
 class Encoder:
-    """Token ids as bytes of little-endian unsigned 32-bit numbers. Texts are cut into pieces whose ids do not depend on their surroundings; the
-    tokenizer sees each distinct piece once, and texts whose pieces cannot be told by bytes as a whole."""
+    """Token ids of texts. Texts are cut into pieces whose ids do not depend on their surroundings; the tokenizer sees each distinct piece
+    once, and texts whose pieces cannot be told by bytes as a whole.
 
-    def __init__(self, path: str, cache: int = CACHE):
-        self.tok = tokenizer(path)
-        self.memory = Memory(self._encode, cache)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for lo in range(0, len(texts), 2_000) for e in self.tok.encode_batch_fast(texts[lo : lo + 2_000], add_special_tokens=False)]
+    Ids of all pieces lie in one buffer. New pieces that are a space and what follows it up to the next one are written one after the
+    other and encoded together: a token that begins with the space begins a piece."""
 
-    def rows(self, data: np.ndarray, offs: np.ndarray) -> list[bytes]:
-        out: list[bytes] = []
+    def __init__(self, path: str, cache: int = CACHE):
+        self.tok, self.most = tokenizer(path), cache
+        vocab = self.tok.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the space in byte-level vocabularies
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for lo in range(0, len(texts), 2_000) for e in self.tok.encode_batch_fast(texts[lo : lo + 2_000], add_special_tokens=False)]
+
+    def _together(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many ids each has) of pieces that all begin with a space and hold no other."""
+        n = e - s
+        end = np.cumsum(n)
+        raw = data[np.repeat(s - (end - n), n) + np.arange(end[-1])].tobytes()
+        edges = np.unique(np.concatenate(([0], np.searchsorted(end, np.arange(TOGETHER, end[-1], TOGETHER)), [len(s)])))
+        at = np.concatenate(([0], end))
+        got = self._encode([raw[at[i] : at[j]].decode() for i, j in zip(edges[:-1], edges[1:], strict=True)])
+        sizes = []
+        for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            begin = np.flatnonzero(self.begins[got[k]])
+            if len(begin) != j - i or begin[0]:  # a vocabulary with another rule
+                own = self._encode([raw[at[x] : at[x + 1]].decode() for x in range(i, j)])
+                got[k] = np.concatenate(own)
+                sizes.append(np.array([len(x) for x in own]))
+            else:
+                sizes.append(np.diff(np.append(begin, len(got[k]))))
+        return np.concatenate(got), np.concatenate(sizes)
+
+    def _learn(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, keys: np.ndarray) -> None:
+        """Add the pieces data[s:e] with ascending, unknown keys."""
+        space = np.concatenate(([0], np.cumsum((data == 32) | (data == 10))))
+        alone = (data[s] == 32) & (space[e] - space[s] == 1) & (e - s > 1)
+        order = np.concatenate((np.flatnonzero(alone), np.flatnonzero(~alone)))
+        ids, sizes = [], []
+        if alone.any():
+            i, n = self._together(data, s[alone], e[alone])
+            ids.append(i)
+            sizes.append(n)
+        if not alone.all():
+            raw = data.tobytes()
+            other = self._encode([raw[a:b].decode() for a, b in zip(s[~alone].tolist(), e[~alone].tolist(), strict=True)])
+            ids += other
+            sizes.append(np.array([len(x) for x in other]))
+        size = np.concatenate(sizes)
+        number = np.empty(len(s), np.int64)
+        number[order] = len(self.size) + np.arange(len(s))
+        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.ids = np.concatenate((self.ids, *ids))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.number = np.insert(self.keys, at, keys), np.insert(self.number, at, number)
+
+    def _pieces(self, data: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Number of the piece at each place s."""
+        if len(self.keys) > self.most:
+            self._forget()
+        e = np.append(s[1:], len(data))
+        uniq, at, inverse = np.unique(hash_spans(data, s, e), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, uniq)
+        new = (place >= len(self.keys)) if not len(self.keys) else self.keys[place.clip(0, len(self.keys) - 1)] != uniq
+        if new.any():
+            self._learn(data, s[at[new]], e[at[new]], uniq[new])
+            place = np.searchsorted(self.keys, uniq)
+        return self.number[place][inverse]
+
+    def rows(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows one after the other, how many each row has)."""
+        out, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for a, b, plain in runs(plain_rows(data, offs)):
             part, at = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-            if not plain:
+            if not len(part):
+                counts.append(np.zeros(b - a, np.int64))
+            elif not plain:
                 raw = part.tobytes()
-                out += self._encode([raw[i:j].decode() for i, j in zip(at[:-1], at[1:], strict=True)])
-            elif not len(part):
-                out += [b""] * (b - a)
+                got = self._encode([raw[i:j].decode() for i, j in zip(at[:-1], at[1:], strict=True)])
+                out += got
+                counts.append(np.array([len(x) for x in got]))
             else:
                 s = byte_level_cuts(part, at)
-                number, inverse = self.memory.numbers(part, s, lower=False)
-                own = [self.memory.values[i] for i in number.tolist()]
-                size = np.fromiter(map(len, own), np.int64, len(own)) // 4
-                start, n = np.cumsum(size) - size, size[inverse]
+                number = self._pieces(part, s)
+                n = self.size[number]
                 end = np.cumsum(n)
-                ids = np.frombuffer(b"".join(own), "<u4")[np.repeat(start[inverse] - (end - n), n) + np.arange(end[-1])]
-                out += [x.tobytes() for x in np.split(ids, np.concatenate(([0], end))[np.searchsorted(s, at[1:-1])])]
-        return out
+                out.append(self.ids[np.repeat(self.first[number] - (end - n), n) + np.arange(end[-1])])
+                counts.append(np.diff(np.concatenate(([0], end))[np.searchsorted(s, at)]))
+        return np.concatenate(out), np.concatenate(counts)
 
 
 def _path(name: str) -> str:
@@ -74,14 +143,18 @@ def token_ids(docs: DataFrame, tokenizer: str = TOKENIZER, eos: int = EOS) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, first, enc, end = TaskContext.get().partitionId(), 0, Encoder(_path(tokenizer)), np.array([eos], "<u4").tobytes()
+        part, first, enc = TaskContext.get().partitionId(), 0, Encoder(_path(tokenizer))
         for batch, data, offs in blocks(batches):
-            ids = [x + end for x in enc.rows(data, offs)]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
+            ids, n = enc.rows(data, offs)
+            at = np.cumsum(n)
+            raw = np.insert(ids, at, eos).astype("<u4").tobytes()
+            n += 1
+            at = 4 * np.concatenate(([0], np.cumsum(n)))
+            ids = [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "part": pa.array(np.full(len(n), part, np.int64)), "first": pa.array(first + np.cumsum(n) - n), "n": pa.array(n), "ids": pa.array(ids, pa.binary())})
             first += int(n.sum())
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, part long, first long, n long, ids binary")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, part long, first long, n long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, eos: int = EOS, with_ids: bool = False) -> DataFrame:
@@ -117,7 +190,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, eos:
             yield pa.record_batch({k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()})
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return kept.mapInArrow(pieces, schema)
+    return in_arrow(kept, pieces, schema)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
