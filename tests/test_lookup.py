@@ -41,3 +41,16 @@ def test_fuzzy_titles_is_all_against_all(spark, tmp_path):
     got = {r.l_id: (r.r_id, r.score, r.exact) for r in catalog.fuzzy_titles(spark, str(tmp_path)).collect()}
     assert got == brute(rows, 0.85)
     assert {False, True} == {x[2] for x in got.values()} and len({x[1] for x in got.values()}) > 3
+
+
+def test_quotes_of_every_length_stand_where_brute_force_says(spark):
+    from corpusmill.operators import retrieval
+
+    rng = random.Random(8)
+    words = ["alpha", "Beta", "gam", "gamma", "delta,", "eps", "a", "of"]
+    docs = [(i, rng.choice([" ", "  ", "\n"]).join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(60, None), (61, "")]
+    items = [(i, " ".join(docs[rng.randrange(60)][1].split()[:k])) for i, k in enumerate([1, 1, 2, 2, 3, 4, 6, 9, 10, 12, 20, 30])]
+    items += [(50, "MMA del"), (51, "lph"), (52, ""), (53, None), (54, "ta gam"), (55, "zzz"), (56, "amma delta, eps a o"), (57, docs[3][1]), (58, docs[4][1][1:-1])]
+    got = retrieval.quoted(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    want = {(i, d) for i, q in items for d, t in docs if q and q.lower() in (t or "").lower()}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
