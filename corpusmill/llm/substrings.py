@@ -225,14 +225,20 @@ def repeated_windows(docs: DataFrame, profile: DataFrame, window: int = WINDOW)
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("starts")), copies
 
 
+#: Removed runs of words, as Spark and as Arrow name them.
+SPAN = "array<struct<first:int,past:int>>"
+SPANS = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
+
+
 def _bisect(ends: list[int], x: int) -> int:
     from bisect import bisect_right
 
     return bisect_right(ends, x) - 1
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, with_spans: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row, and on demand spans: the removed runs of words, each from its first word's
+    place (from 0) up to, not including, `past`.
 
     Words are runs of characters other than the six ASCII spaces. A word goes if a window over it also starts earlier, in a document
     with a smaller doc_id or further up in the same one; the windows are those of the input. Null and empty texts have no words; a
@@ -240,18 +246,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     repeat a doc_id with other texts are documents of their own, in the order of a hash of their texts; rows that repeat both are one
     document; null ids keep all. An empty table gives no row; other columns are not read."""
     docs, own_ids = with_unique_ids(docs.select("doc_id", "text"))
-    out = _removed(docs, window)
+    out = _removed(docs, window, with_spans)
     return out if own_ids is None else own_ids(out)
 
 
-def _removed(docs: DataFrame, window: int) -> DataFrame:
+def _removed(docs: DataFrame, window: int, with_spans: bool) -> DataFrame:
     profile = stored(_profile(docs, window))
     starts, copies = repeated_windows(docs, profile, window)
     starts = stored(starts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone, sha = [], []
+            gone, sha, spans = [], [], []
             for text, at in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 w = (text or "").encode().split()
                 runs, kept, p = _runs(at, window), [], 0
@@ -260,18 +266,23 @@ def _removed(docs: DataFrame, window: int) -> DataFrame:
                     p = b
                 kept += w[p:]
                 gone.append(len(w) - len(kept))
+                spans.append([{"first": a, "past": b} for a, b in runs])
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "gone": pa.array(gone, pa.int64()), "sha": pa.array(sha, pa.string())})
+            more = {"spans": pa.array(spans, SPANS)} if with_spans else {}
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "gone": pa.array(gone, pa.int64()), "sha": pa.array(sha, pa.string()), **more})
 
     changed = keep_ids(docs.select("doc_id", "text"), starts.select("doc_id"), "doc_id").join(starts, "doc_id")
-    changed = in_arrow(changed.select("doc_id", "text", "starts"), cut, "doc_id long, gone long, sha string").dropDuplicates(["doc_id"])
+    changed = in_arrow(changed.select("doc_id", "text", "starts"), cut, "doc_id long, gone long, sha string" + (f", spans {SPAN}" if with_spans else "")).dropDuplicates(["doc_id"])
     out = profile.drop("prints").join(changed, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
     none = hashlib.sha256(b"").hexdigest()
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("past")))
+    spans = F.when(F.col("copy"), whole).otherwise(F.coalesce("spans", F.array().cast(SPAN))).alias("spans") if with_spans else None
     return out.select(
         "doc_id",
         "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("copy"), F.lit(none)).otherwise(F.coalesce("sha", "whole")).alias("kept_sha256"),
+        *([spans] if with_spans else []),
     )
 
 

@@ -222,10 +222,11 @@ def test_removed_substrings_are_brute_force(docs, rows, empty):
     seqs = {d: (t or "").encode().split() for d, t, *_ in rows}
     for n in (20, 6):
         gone = brute_windows(seqs, n)
-        got = by_id(substrings.remove_repeats(docs, n))
+        got = by_id(substrings.remove_repeats(docs, n, with_spans=True))
         for d, w in seqs.items():
             kept = b" ".join(x for i, x in enumerate(w) if i not in gone[d])
             assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (len(w), len(gone[d]), hashlib.sha256(kept).hexdigest()), (n, d)
+            assert [i for a, b in got[d].spans for i in range(a, b)] == sorted(gone[d]), (n, d)
     assert substrings.remove_repeats(empty).count() == 0
 
 
