@@ -24,6 +24,18 @@ BOILERPLATE = (
 MAIL = r"\S+@\S+\.(com|edu|org|net|io|ai)"
 AFFILIATIONS = (r"(University|Institute|Laboratory|Inc\.|Corp\.|Ltd\.) of \w+", r"\w+ (University|Institute|College|Laboratory)")
 MATH = ((r"\b[αβγδεζηθικλμνξοπρστυφχψω]\b", ""), (r"\s+[∈∉⊂⊆∪∩∑∏∫≈≠≤≥]+\s+", " "), (r"Equation\s*\d+", ""), (r"Formula\s*\d+", ""))
+BANNERS = (
+    r"Preprint\.?\s*Accepted paper at [^.]*\.\s*(?:\d{4} IEEE\.[^.]*\.\s*)?",
+    r"arXiv:\d{4}\.\d{4,5}v?\d*\s*\[?[a-z\-]+\.?[A-Z]{2}\]?\s*\d{1,2} [A-Z][a-z]{2} \d{4}\s*",
+    r"SUBMITTED TO [A-Z/ ]+\s*\d*\s*",
+    r"Contents lists available at ScienceDirect[^A-Z]*",
+    r"Future Generation Computer Systems\s*",
+    r"ARGONNE NATIONAL LABORATORY[^A-Z]*(?:\d+ South Cass Avenue[^A-Z]*)?",
+    r"KSII TRANSACTIONS ON [A-Z ]+VOL\.?\s*\d+[^A-Z]*",
+    r"The Nucleus \d+[^a-z]*www\.\S+\s*\d*\s*(?:Pakistan\s*)?(?:The Nucleus\s*)*I?\s*S?\s*",
+    r"Title\s+(?=[A-Z])",
+)
+TITLE_STOP = ["a", "an", "the", "of", "for", "and", "on", "in", "to", "with", "via"]
 LINK = r"http[s]?://[a-zA-Z0-9$-_@.&+!*\\(),]++"
 STOPWORDS = [
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "if", "in", "into", "is", "it", "of", "on", "or", "that", "the", "their", "this", "to", "what", "when", "where", "which", "with", "why",
@@ -261,3 +273,54 @@ def only_thinks(c: Column, least: int = 15) -> Column:
 def in_text_ids(c: Column) -> Column:
     head = F.substring(c, 1, 20_000)
     return F.struct(F.nullif(F.regexp_extract(head, r"(?i)\b(10\.\d{4,9}/[-._;()/:a-z0-9]+)", 1), F.lit("")).alias("doi"), F.nullif(F.regexp_extract(head, r"(?i)arxiv:\s*(\d{4}\.\d{4,5})", 1), F.lit("")).alias("arxiv"))
+
+
+def marked_blocks(c: Column) -> Column:
+    """Texts between `PDF_START:` lines and `PDF_END`, stripped, without empty ones; a block without its end goes."""
+    blocks = F.filter(F.slice(F.split(c, "PDF_START:"), 2, 2_000_000_000), lambda b: b.contains("PDF_END") & b.contains("\n"))
+    body = lambda b: strip(F.regexp_extract(F.substring_index(b, "PDF_END", 1), r"(?s)^[^\n]*\n(.*)$", 1))
+    return F.filter(F.transform(blocks, body), lambda x: F.length(x) > 0)
+
+
+def leading_title(c: Column, most: int = 16) -> Column:
+    """A guess at the title: the first words of the head, without a page number and what follows an e-mail mark."""
+    head = F.substring(strip(sub(c, r"\s+", " ")), 1, 400)
+    head = F.regexp_replace(F.regexp_replace(head, r"^\d+\s+", ""), r"\b[Ee]mail:.*$", "")
+    return F.regexp_replace(F.array_join(F.slice(space_words(head), 1, most), " "), r"^[ .,;:-]+|[ .,;:-]+$", "")
+
+
+def strip_banners(c: Column, passes: int = 4) -> Column:
+    """The head of a paper without publishers' banners; banners stack, so the first of each kind goes in each of some passes."""
+
+    def one(x: Column) -> Column:
+        for p in BANNERS:
+            x = F.regexp_replace(x, rf"(?is)^(.*?)(?:{p})(.*)$", "$1 $2")
+        return F.trim(F.regexp_replace(x, r"^\W*\d+\s+", ""))
+
+    out = F.substring(strip(sub(c, r"\s+", " ")), 1, 1500)
+    for _ in range(passes):
+        out = bound(out, one)
+    return squeeze(out)
+
+
+def title_tokens(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), 0), lambda x: (F.length(x) > 2) & ~x.isin(TITLE_STOP)))
+
+
+def bibliographic_score(guess: Column, title: Column) -> Column:
+    """The greater of the Jaccard similarity of title tokens and 0.95 of the share of the title that the guess has; 0 without tokens."""
+    g, w = title_tokens(guess), title_tokens(title)
+    both = F.size(F.array_intersect(g, w))
+    return F.when((F.size(g) > 0) & (F.size(w) > 0), F.greatest(both / F.size(F.array_union(g, w)), both / F.size(w) * 0.95)).otherwise(0.0)
+
+
+def model_key(path: Column) -> Column:
+    """A judged file's model, whoever judged it."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.regexp_replace(F.regexp_replace(name, "^hpn_judged_", ""), r"_by_.*\.xlsx$", "")
+
+
+def benchmark_tag(path: Column, prefix: str = "hpn_qa_benchmark") -> Column:
+    """What a benchmark's file name adds to the prefix; empty if nothing."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return F.when(stem.startswith(prefix), F.substring(stem, F.lit(len(prefix) + 2), F.length(stem))).otherwise("")

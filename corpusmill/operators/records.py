@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .sampling import order_key
-from .tables import LOW_QUALITY
 
 # Lengths and words that decide about a record.
 LEAST_PROBLEM = 15
 NOT_OURS = ("not hpn", "not hpn-relevant")
 QUOTE, BACKFILL, KEYWORDS = 480, 240, 7
 LEAST_ANCHOR_WORDS = 20
+FRONT_MATTER = r"(?i)(table of contents|acknowledgements|chapter 1|chapter 2|organization of thesis|abstract \.\s*v)"
 # End of fixed values.
 
 
@@ -21,7 +21,16 @@ def low_quality_chunk(text: Column, title: Column) -> Column:
     """Chunks that are empty, of an unknown paper, front matter, or the dotted lines of a table of contents."""
     x = T.strip(F.coalesce(text, F.lit("")))
     dots = x.startswith(".") & F.lower(F.substring(x, 1, 120)).contains("chapter")
-    return (F.length(x) == 0) | F.coalesce(title == "Unknown", F.lit(False)) | x.rlike(LOW_QUALITY) | dots
+    return (F.length(x) == 0) | F.coalesce(title == "Unknown", F.lit(False)) | x.rlike(FRONT_MATTER) | dots
+
+
+def generation_papers(papers: DataFrame, score: Column, least_confidence: float, least_score: int, limit: int = 0) -> DataFrame:
+    """Structured papers with a title, enough confidence, no front matter as abstract and a keyword score of at least `least_score`, the best
+    `limit` (0: all): by score, confidence, number of sections, section tokens, then paper_id."""
+    fit = papers.withColumn("keyword_score", score).where((F.col("method") == "structured") & (F.col("confidence") >= least_confidence) & (F.col("title") != "Unknown"))
+    fit = fit.where(~F.coalesce("abstract", F.lit("")).rlike(FRONT_MATTER) & (F.col("keyword_score") >= least_score))
+    best = fit.orderBy(F.desc("keyword_score"), F.desc("confidence"), F.desc(F.size("sections")), F.desc("total_section_tokens"), "paper_id")
+    return best.limit(limit) if limit > 0 else best
 
 
 def good_anchors(df: DataFrame, category: str, question: str, response: str, order: str, least: int = LEAST_ANCHOR_WORDS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, graph, records, reports, retrieval
+from ..operators import chunking, graph, records, reports, retrieval, stats
 from .catalog import _ranked, query, t
 
 WORDS = r"[\p{L}\p{N}_]+"
@@ -201,7 +201,7 @@ def good_anchors(spark, sf_dir):
     return records.good_anchors(t(spark, sf_dir, "documents"), "lang", "source", "text", "doc_id").select("doc_id")
 
 
-@query(r"""SELECT doc_id, trim(coalesce(text, ''), E' \t\n\r') = '' OR coalesce(lang = 'fr', false) OR regexp_matches(coalesce(text, ''), '(?i)(table of contents|acknowledgements|organization of thesis|chapter 1|chapter 2|references\s+\d)') AS bad FROM documents""")
+@query(r"""SELECT doc_id, trim(coalesce(text, ''), E' \t\n\r') = '' OR coalesce(lang = 'fr', false) OR regexp_matches(coalesce(text, ''), '(?i)(table of contents|acknowledgements|organization of thesis|chapter 1|chapter 2|abstract \.\s*v)') AS bad FROM documents""")
 def low_quality_chunks(spark, sf_dir):
     title = F.when(F.col("lang") == "fr", "Unknown").otherwise(F.col("lang"))
     return t(spark, sf_dir, "documents").select("doc_id", records.low_quality_chunk(F.col("text"), title).alias("bad"))
@@ -311,3 +311,40 @@ def normalized_papers(spark, sf_dir):
 def retrieval_chunks(spark, sf_dir):
     papers = chunking.parsed(t(spark, sf_dir, "documents"), "doc_id", "text")
     return chunking.section_chunks(papers, "doc_id").select("doc_id", "chunk_no", "n_chunks", "chunk_id", "n_tokens", F.sha2("text", 256).alias("digest"))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, q.vec_id AS own, e.vec_id AS item_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))) AS s
+ FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) SELECT query_id, round(max(s), 4) AS score, max(round(s, 6)) > 0.35 AS leaks FROM s GROUP BY query_id""")
+def cosine_leak(spark, sf_dir):
+    """The stated query set against all other rows: the nearest one and whether it is nearer than allowed."""
+    e = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    near = retrieval.cosine_top(e, e.where("id % 100 = 0"), 2).where("item_id <> query_id")
+    return near.groupBy("query_id").agg(F.round(F.max("score"), 4).alias("score"), (F.max("score") > 0.35).alias("leaks"))
+
+
+@query()
+def chunk_bundles(spark, sf_dir):
+    papers = chunking.parsed(t(spark, sf_dir, "documents"), "doc_id", "text")
+    return chunking.bundles(chunking.profile_chunks(papers, "doc_id", "base"), "doc_id")
+
+
+TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+'), lambda x: len(x) > 2 AND NOT list_contains(['" + "','".join(T.TITLE_STOP) + "'], x)))"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {TOKENS.format("p_name || ' ' || p_brand")} AS g, {TOKENS.format("p_brand || ' ' || p_type")} AS w FROM part)
+SELECT p_partkey, round(CASE WHEN len(g) = 0 OR len(w) = 0 THEN 0.0 ELSE greatest(len(list_intersect(g, w)) / len(list_distinct(list_concat(g, w))), len(list_intersect(g, w)) / len(w) * CAST(0.95 AS DOUBLE)) END, 6) AS score FROM part JOIN p USING (p_partkey)""")
+def bibliographic_scores(spark, sf_dir):
+    guess, title = F.concat_ws(" ", "p_name", "p_brand"), F.concat_ws(" ", "p_brand", "p_type")
+    return t(spark, sf_dir, "part").select("p_partkey", F.round(T.bibliographic_score(guess, title), 6).alias("score"))
+
+
+@query()
+def leading_titles(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", T.leading_title(T.strip_banners(F.coalesce("text", F.lit("")))).alias("title"))
+
+
+@query()
+def system_intervals(spark, sf_dir):
+    """Mean and cluster bootstrap interval of each system."""
+    x = stats.clustered(t(spark, sf_dir, "events"), "event_type", "user_id", "value")
+    return x.select(F.col("grp").alias("event_type"), "n", "clusters", F.round("mean", 3).alias("mean"), F.round("ci_lo", 3).alias("ci_lo"), F.round("ci_hi", 3).alias("ci_hi"), F.round((F.col("ci_hi") - F.col("ci_lo")) / 2, 3).alias("half_width"))

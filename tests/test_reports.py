@@ -89,3 +89,40 @@ def test_report_rules(spark):
     assert [r[0] for r in v.select(reports.equivalence_verdict(F.col("d"), F.col("a"), F.col("b"))).collect()] == ["higher, but below the practical margin", "meaningfully lower", "equivalent", "inconclusive"]
     empty = v.limit(0)
     assert reports.dimension_report(empty, [], ["d"]).first()["mean"] == 0.0 and reports.length_stats(empty, ["d"], "a").count() == 0
+
+
+def test_titles_and_names(spark):
+    from corpusmill.functions import text as T
+
+    one = lambda c, v: spark.createDataFrame([(v,)], "x string").select(c(F.col("x"))).first()[0]
+    assert one(T.marked_blocks, "junk PDF_START: a.pdf ---\n body one \nPDF_END\nPDF_START: b.pdf\n \nPDF_END PDF_START: c.pdf\nno end") == ["body one"]
+    assert one(T.leading_title, " 12  A Great\nTitle: of things. Email: a@b.c rest") == "A Great Title: of things"
+    assert len(one(T.leading_title, "w " * 50).split()) == 16 and one(T.leading_title, "") == ""
+    banner = "arXiv:2101.01234v1 [cs.NI] 3 Jan 2021 SUBMITTED TO IEEE 7 Title Fast Nets and more"
+    assert one(T.strip_banners, banner).endswith("Nets and more") and "arXiv" not in one(T.strip_banners, banner)
+    assert one(T.model_key, "/x/hpn_judged_m-1_by_judge.xlsx") == "m-1"
+    assert [one(T.benchmark_tag, f"/d/hpn_qa_benchmark{x}.json") for x in ("", "_v4_general")] == ["", "v4_general"] and one(T.benchmark_tag, "other.json") == ""
+    s = spark.createDataFrame([("the fast net paper extra", "Fast net paper"), ("", "x")], "a string, b string")
+    assert [round(r[0], 4) for r in s.select(T.bibliographic_score(F.col("a"), F.col("b"))).collect()] == [0.95, 0.0]
+
+
+def test_bundles(spark):
+    rows = [(p, i, f"{p}_{i}", h, i == 0, 100 * (i + 1)) for p in ("a", "b", "c") for i, h in enumerate(["Abstract", "Design", "Evaluation", "Design", "Other", "Other"])]
+    x = chunking.bundles(spark.createDataFrame(rows, "id string, chunk_no int, chunk_id string, heading string, is_abstract boolean, n_tokens int"), "id")
+    got = sorted((r.kind, tuple(r.paper_ids), tuple(r.chunk_ids), r.n_tokens) for r in x.collect())
+    assert len(got) == 3 * 4 + 3 + 2
+    assert ("cross_paper_design", ("a", "b"), ("a_1", "b_1"), 400) in got and ("abstract_plus_body", ("c",), ("c_0", "c_1"), 300) in got
+
+
+def test_merged_sources(spark):
+    from corpusmill.operators import dedup
+
+    many, schema = [f"w{i}" for i in range(30)], "seq long, raw_title string, page_count int, size_bytes long, tokens array<string>"
+    a = spark.createDataFrame([(1, "One", 3, 100, many), (2, "", 1, 1, [])], schema)
+    b = spark.createDataFrame([(1, "ONE!", 3, 101, many), (2, "one", 4, 500, ["x"]), (3, "Two", 1, 1, [])], schema)
+    got = {(r.source, r.seq): r.status for r in dedup.merged_sources({"a": a, "b": b}).collect()}
+    assert got == {("a", 1): "new", ("a", 2): "extract_failed", ("b", 1): "strong", ("b", 2): "weak", ("b", 3): "new"}
+    few = spark.createDataFrame([(1, "One", 3, 100, ["x"]), (2, "One", 3, 100, ["y"])], schema)
+    assert {r.status for r in dedup.title_index(few).collect()} == {"new", "strong"}
+    plan = dedup.deletion_plan(spark.createDataFrame([("e", "d", "STRONG"), ("e", "f", "LIKELY"), ("e", "g", None)], "existing string, duplicate string, confidence string"), "LIKELY")
+    assert [r.action for r in plan.collect()] == ["delete", "delete", "skip"]
