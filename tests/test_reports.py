@@ -1,4 +1,5 @@
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,37 @@ def test_merged_sources(spark):
     assert {r.status for r in dedup.title_index(few).collect()} == {"new", "strong"}
     plan = dedup.deletion_plan(spark.createDataFrame([("e", "d", "STRONG"), ("e", "f", "LIKELY"), ("e", "g", None)], "existing string, duplicate string, confidence string"), "LIKELY")
     assert [r.action for r in plan.collect()] == ["delete", "delete", "skip"]
+
+
+def test_readers(spark, tmp_path):
+    import json
+
+    from corpusmill.sources import files
+
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n{"x": 2}\n')
+    (tmp_path / "a.json").write_text('[{"x": 1},\n {"x": 2}]')
+    (tmp_path / "a.csv").write_text("x\n1\n2\n")
+    for name in ("a.jsonl", "a.json", "a.csv"):
+        assert [r.x for r in files.rows(spark, str(tmp_path / name), "x long").orderBy("x").collect()] == [1, 2]
+    with pytest.raises(ValueError, match="no reader"):
+        files.rows(spark, "a.xml", "x long")
+    (tmp_path / "p").mkdir()
+    rag = {"profile_type": "rag", "summary": {"question_count": 3, "avg_total_time_s": 2.0}, "model_load": {"retriever_load_time_s": 1.111, "generator_load_time_s": 2}}
+    (tmp_path / "p" / "inference_r.json").write_text(json.dumps(rag, indent=1))
+    (tmp_path / "p" / "inference_m.json").write_text(json.dumps({"profile_type": "llm", "benchmark_prompts": [{"avg_total_time_s": 1.0}, {"avg_total_time_s": 2.0}], "summary": {"avg_ttft_s": 0.5}, "model_load": {"load_time_s": 9.0}}))
+    got = {r.label: r for r in files.profiles(spark, str(tmp_path / "p")).collect()}
+    assert (got["r"].question_count, got["r"].avg_total_time_s, got["r"].load_time_s, got["r"].avg_ttft_s) == (3, 2.0, 3.11, None)
+    assert (got["m"].question_count, got["m"].avg_total_time_s, got["m"].load_time_s, got["m"].avg_ttft_s) == (2, 1.5, 9.0, 0.5)
+    (tmp_path / "d").mkdir()
+    for name, stamp in (("a.pdf", "1"), ("b.pdf", "2"), ("c.bin", "1"), ("d.bin", "2")):
+        (tmp_path / "d" / name).write_bytes(b"%PDF \xff /CreationDate (D:" + stamp.encode() + b") rest")
+    for name, year in (("e.xlsx", 2020), ("f.xlsx", 2021)):
+        with zipfile.ZipFile(tmp_path / "d" / name, "w") as z:
+            z.writestr("docProps/core.xml", f'<p><dcterms:created xsi:type="t">{year}</dcterms:created></p>')
+            z.writestr("xl/sheet.xml", "<s/>")
+    d = {r.file: r.sha256 for r in files.digests(spark, str(tmp_path / "d")).collect()}
+    assert d["a.pdf"] == d["b.pdf"] and d["c.bin"] != d["d.bin"]
+    assert d["e.xlsx"] == d["f.xlsx"] and d["e.xlsx"]
+    assert files.settings({"a": 1}, {"a": int, "b": float}, {"b": 2}) == {"a": 1, "b": 2}
+    with pytest.raises(ValueError, match="unknown: z; missing: b; a: int expected"):
+        files.settings({"a": True, "z": 1}, {"a": int, "b": float})
