@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 
 def jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
@@ -155,7 +155,7 @@ def profiles(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _book_digest(content: pd.Series) -> pd.Series:
     """Digest of a zipped workbook's parts by name, without the times of its properties; null if it is no zip."""
 
