@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, langid, linededup, minhash, packing
-from corpusmill.llm.common import stored, table
+from corpusmill.llm.common import discard, scratch, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            last, docs = docs, keep(stored(stage(spark, docs, sf_dir)))
+        discard(last)
+    out = packed(spark, docs, sf_dir)
+    discard(docs)  # packing has stored their token ids
+    return out

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, in_arrow, keep_ids, stored, table, width
+from .common import discard, free_name, in_arrow, keep_ids, scratch, stored, table, width
 
 #: Lines in the shortest run that counts as repeated.
 MIN_LINES = 3
@@ -59,7 +59,8 @@ def with_unique_ids(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], D
         return docs, None
     t = free_name(docs, "text_hash_")
     hashed = docs.withColumn(t, F.xxhash64(F.coalesce("text", F.lit(""))))
-    keys = stored(ranked(hashed.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("r"), F.col(t).alias("r2")).distinct()))
+    with scratch(docs.sparkSession) as keep:
+        keys = keep(stored(ranked(hashed.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("r"), F.col(t).alias("r2")).distinct())))
     rank = free_name(docs, "rank")
     new = hashed.join(keys.select(F.col("r").alias("doc_id"), F.col("r2").alias(t), F.col("rank").alias(rank)), ["doc_id", t], "left")
     new = new.select(*[F.col(rank).alias("doc_id") if c == "doc_id" else F.col(c) for c in docs.columns])
@@ -74,10 +75,11 @@ def with_unique_ids(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], D
 def deeper(level: DataFrame, step: int) -> DataFrame | None:
     """(doc_id, at, r, f_doc, f_at) at `step` lines more than `level`: suffixes still shared, their interval's rank and first suffix."""
     after = level.select("doc_id", (F.col("at") - step).alias("at"), F.col("r").alias("r2"))
-    pairs = stored(level.select("doc_id", "at", "r").join(after, ["doc_id", "at"]))
-    shared = pairs.groupBy("r", "r2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("f")).where("n > 1")
-    shared = ranked(shared.select("r", "r2", F.col("f.doc_id").alias("f_doc"), F.col("f.at").alias("f_at")))
-    out = stored(pairs.join(shared, ["r", "r2"]).select("doc_id", "at", F.col("rank").alias("r"), "f_doc", "f_at"))
+    with scratch(level.sparkSession) as keep:
+        pairs = stored(level.select("doc_id", "at", "r").join(after, ["doc_id", "at"]))
+        shared = pairs.groupBy("r", "r2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("f")).where("n > 1")
+        shared = ranked(shared.select("r", "r2", F.col("f.doc_id").alias("f_doc"), F.col("f.at").alias("f_at")))
+        out = keep(stored(pairs.join(shared, ["r", "r2"]).select("doc_id", "at", F.col("rank").alias("r"), "f_doc", "f_at")))
     return None if out.isEmpty() else out
 
 
@@ -88,6 +90,7 @@ def levels(docs: DataFrame, min_lines: int, deepest: int | None = None, short: b
     often = lines.groupBy("r").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("f")).where("n > 1")
     often = stored(often.select("r", F.col("f.doc_id").alias("f_doc"), F.col("f.at").alias("f_at")))
     level: DataFrame | None = stored(lines.join(often, "r").dropDuplicates(["doc_id", "at"]))
+    discard(often)
     depth = 1
     while level is not None:
         if short or depth >= min_lines:
@@ -157,12 +160,13 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, deepest: int | None
 
 def _deduped(docs: DataFrame, min_lines: int, deepest: int | None, min_chars: int | None) -> DataFrame:
     copies_ = free_name(docs, "copies_")
-    starts, deep = later_copies(docs, min_lines, deepest, min_chars is not None)
     zero = [F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"), F.lit(0).alias("copy_depth")]
     same = lambda d: d.select("*", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), *zero)
-    if starts is None:
-        return same(docs)
-    ids = stored(starts.join(deep, "doc_id").select("doc_id", F.struct("starts", "longest").alias(copies_)))
+    with scratch(docs.sparkSession) as keep:
+        starts, deep = later_copies(docs, min_lines, deepest, min_chars is not None)
+        if starts is None:
+            return same(docs)
+        ids = keep(stored(starts.join(deep, "doc_id").select("doc_id", F.struct("starts", "longest").alias(copies_))))
     n = ids.count()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, blocks, components, in_arrow, keep_ids, mix, ngrams, raw_bytes, runs_of, stored, table, width, words
+from .common import NOT_SPACE, blocks, components, discard, in_arrow, keep_ids, mix, ngrams, raw_bytes, runs_of, scratch, stored, table, width, words
 
 SHINGLE, PERCENT, ROWS, MANTISSA = 5, 80, 6, 10
 #: Probability with which a pair exactly at the threshold may share no band.
@@ -225,10 +225,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     and empty texts have none and stay alone. Equal texts, however many, are one class by one aggregation. doc_id should be unique and
     not null: rows that repeat a doc_id get the class of their own set each, under that id; a null id stays alone. An empty table gives no row;
     other columns are not read. Links are lost only with probability `miss` (default one in a million, at the threshold)."""
-    bands = bands_for(percent, rows, miss)
+    with scratch(docs.sparkSession) as keep:
+        out = keep(stored(_classes(docs, shingle, percent, rows, bands_for(percent, rows, miss))))
+    return out.withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
+
+
+def _classes(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int) -> DataFrame:
+    """doc_id, n_shingles, component_id. Registers, sets and groups are discarded when the last step that reads them is over."""
     k = bands * rows
-    all_rows = stored(sketches(docs, shingle, k))
-    reps = stored(all_rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")))
+    sketched = stored(sketches(docs, shingle, k))
+    reps = stored(sketched.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")))
+    all_rows = stored(sketched.select("doc_id", "n_shingles", "set_key"))
+    discard(sketched)
     keyed = band_keys(reps, rows, bands)
     shared = keyed.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("band")
     groups = stored(keyed.join(shared, "band").select(F.col("band").alias("grp"), "id"))
@@ -238,20 +246,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     degree = stored(groups.join(size, "grp").groupBy("id").agg(F.sum("n").alias("degree")))
     sets = whole_sets(docs, degree.select("id"), shingle)
     bodies = stored(reps.join(sets, ["id", "n_shingles"]).select("id", F.concat("regs", "body").alias("body")))
+    ids = stored(reps.select("set_key", "id"))
+    discard(reps)
     links = labels = None
 
     def tried(pairs: DataFrame, more: DataFrame | None = None) -> None:
         nonlocal links, labels
-        new = confirmed(stored(pairs.distinct()), bodies, percent, k)
+        pairs = stored(pairs.distinct())
+        new = confirmed(pairs, bodies, percent, k)
         new = stored(new if more is None else new.unionByName(more))
+        discard(pairs)
         if links is None or not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            labels = stored(components(links))
+            last, labels = labels, stored(components(links))
+            discard(last)
 
     # 1. Every member of a band group with the group's leader.
     leaders = stored(with_leader(groups, degree))
     tried(leaders.where("id <> a").select("a", F.col("id").alias("b")))
-    groups = stored(several(labelled(groups, labels)))
+    every, groups = groups, stored(several(labelled(groups, labels)))
+    discard(every)
     if not groups.isEmpty():
         # 2. Groups that are still of several classes: the pairs of different classes of the small ones; the large ones by what their
         # members' sets differ in from one pivot.
@@ -269,9 +283,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             tried(small.unionByName(led), differ.where("near").select("a", "b").distinct())
             # 3. What differences still suggest.
             tried(suggested(prefixes, labels, percent))
-    out = all_rows.join(reps.select("set_key", "id"), "set_key", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("root", "id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
+    out = all_rows.join(ids, "set_key", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("root", "id", "doc_id").alias("component_id"))
 
 
 def with_leader(groups: DataFrame, degree: DataFrame) -> DataFrame:
@@ -367,7 +380,8 @@ def suggested(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, but for documents that have a near duplicate of smaller doc_id in their class."""
-    gone = stored(near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct())
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(stored(near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()))
     return keep_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
 
 
